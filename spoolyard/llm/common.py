@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +48,22 @@ def release(df: DataFrame | None) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package: Spark's file server hands it out, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spoolyard_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, f"{top.name}/{p.relative_to(top)}")
+    at = os.path.join(tempfile.mkdtemp(), f"{top.name}.zip")
+    Path(at).write_bytes(packed.getvalue())
+    sc.addPyFile(at)
+    sc._spoolyard_shipped = True
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """df with a broadcast hint if its rows, counted first, fit BROADCAST_BYTES; beyond that the planner shuffles."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df

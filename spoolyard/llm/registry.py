@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import bpe, chat_format, exact_dedup
 
-MODULES = (exact_dedup,)
+MODULES = (bpe, exact_dedup, chat_format)
 
 
 def queries() -> dict:
