@@ -7,8 +7,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,18 +78,45 @@ def without_blanks(text: Column) -> Column:
     return text
 
 
+#: Edges that one task joins in memory (16 bytes each); more are joined by distributed rounds with the same result.
+EDGES_IN_A_TASK = 2_000_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, root), root the smallest node reachable.
 
-    Alternates the large-star and small-star rewrites (each node links its larger, or its smaller, neighbours
-    to the least of them) until an iteration changes nothing. Every iteration is a partial aggregation and a join on
-    the node, which the skew join splits; each result is a table in the shared folder. Loops, repeats and nulls in
-    edges are ignored; without edges the result is empty.
+    Up to EDGES_IN_A_TASK edges are joined in one task. Beyond that, the large-star and small-star rewrites alternate (each
+    node links its larger, or its smaller, neighbours to the least of them) until an iteration changes nothing: every
+    iteration is a partial aggregation and a join on the node, which the skew join splits, and each result is a table in
+    the shared folder. Loops, repeats and nulls in edges are ignored; without edges the result is empty.
     """
-    now = keep(
-        edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "edges",
-    )
+    clean = edges.where("a is not null and b is not null and a <> b")
+    now = keep(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.count() <= EDGES_IN_A_TASK:
+        ship(edges.sparkSession)
+        return now.coalesce(1).mapInPandas(_join_edges, "node long, root long")
+    return star_components(now)
+
+
+def _join_edges(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    for frame in frames:
+        for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": list(root), "root": [find(x) for x in list(root)]}, dtype="int64")
+
+
+def star_components(now: DataFrame) -> DataFrame:
+    """components() by distributed rounds, of distinct edges with a > b."""
     total = None
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

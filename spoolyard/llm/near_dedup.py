@@ -120,41 +120,59 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
 
 
+#: Rounds have 1, HUBS, HUBS^2, ... hubs a bucket.
+HUBS = 8
+
+
 def _resolve(spark: SparkSession, members: DataFrame, docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (node, root) of the components that the documents of members (node, n, bucket) make."""
+    """Rows (node, root) of the components that the documents of members (node, n, bucket) make.
+
+    s bounds what a node can share with another: its size at first, then the number of its shingles that any other
+    node still in question has too. |A and B| is at most the lesser s, so a pair with 100 * s < similarity * (|A| + |B| - s)
+    cannot be linked and is not compared, and a node with 100 * s < similarity * n is out.
+    """
 
     def full_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"node": frame["doc_id"], "hashes": [shingles(t, shingle).tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"node": frame["doc_id"], "hashes": [shingles(t, shingle).view(np.int64) for t in frame["text"]]})
 
     active = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = keep(_frames(docs, id_col, text_col).join(small(active, 16), "doc_id", "left_semi").mapInPandas(full_sets, "node long, hashes binary"), "sets")
+    sets = keep(_frames(docs, id_col, text_col).join(small(active, 16), "doc_id", "left_semi").mapInPandas(full_sets, "node long, hashes array<long>"), "sets")
 
     def confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             good = []
             for x, y in zip(frame["x"], frame["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield frame.loc[good, ["a", "b"]]
 
-    edges = roots = None
-    hubs_done = tried = None
-    hubs_each, turn = 1, 0
+    roots = hubs_done = tried = None
+    members = members.withColumn("s", F.col("n"))
+    turn = 0
     while True:
         now = members if roots is None else members.join(roots, "node", "left")
         now = now.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
         split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
         # Buckets that are one component are over for good.
-        now = keep(now.join(split, "bucket").select("bucket", "node", "n", "root"), "unsettled")
+        now = keep(now.join(split, "bucket").select("bucket", "node", "n", "s", "root"), "unsettled")
+        if turn == 1:
+            open_nodes = now.select("node").distinct()
+            held = sets.join(small(open_nodes, 12), "node", "left_semi").select("node", F.explode("hashes").alias("h"))
+            alone = held.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
+            shared = keep(alone, "alone")
+            now = now.join(small(shared, 20), "node", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * similarity)
+            now = keep(now.select("bucket", "node", "n", "s", "root"), "supported")
         free = now if hubs_done is None else now.join(hubs_done, ["bucket", "node"], "left_anti")
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(hubs_each))
-        hubs = keep(free.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("node", "n", "root")).alias("hub")).select("bucket", "hub.*"), "hubs")
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS**turn))
+        # The node that has least of its own is the likeliest to be what the others were copied from.
+        first = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), "node", "n", "s", "root"))
+        hubs = keep(free.groupBy("bucket", slot.alias("slot")).agg(first.alias("hub")).select("bucket", "hub.*"), "hubs")
         if hubs.isEmpty():
             break
-        hub = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("root").alias("hub_root"))
-        pairs = now.join(hub, "bucket").where("root <> hub_root").where(F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * similarity)
+        hub = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("root").alias("hub_root"))
+        m = F.least("s", "hub_s")
+        pairs = now.join(hub, "bucket").where("root <> hub_root").where(m * 100 >= (F.col("n") + F.col("hub_n") - m) * similarity)
         pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         few = small(pairs, 24)
@@ -168,11 +186,10 @@ def _resolve(spark: SparkSession, members: DataFrame, docs: DataFrame, shingle:
         if not new.isEmpty():
             # What a component is made of matters no more: its nodes with their root are edges enough.
             known = new if roots is None else new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            edges = components(known)
-            older, roots = roots, keep(edges, "roots")
+            older, roots = roots, keep(components(known), "roots")
             release(older)
-        members = now.select("bucket", "node", "n")
-        hubs_each, turn = hubs_each * 4, turn + 1
+        members = now.select("bucket", "node", "n", "s")
+        turn += 1
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
