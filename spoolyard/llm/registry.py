@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, near_dedup, toxicity
+from . import bpe, chat_format, exact_dedup, mixing, near_dedup, toxicity
 
-MODULES = (bpe, near_dedup, exact_dedup, chat_format, toxicity)
+MODULES = (mixing, bpe, near_dedup, exact_dedup, chat_format, toxicity)
 
 
 def queries() -> dict:
