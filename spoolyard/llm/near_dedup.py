@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, keep, read, release, ship, small
+from .common import keep, read, ship, small
+from .hubs import pairs_with, settle
 
 #: Permutations; each gives a minimum and a maximum, so the signature has twice as many values.
 PERMUTATIONS = 40
@@ -92,8 +93,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     empty or blank text has none and is linked with nothing. Rows that repeat an id are one node. A row with a null id
     is never linked and is kept with a null component. Empty tables give no rows; further columns are not read.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
 
     def prints(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -112,7 +112,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     nodes = linked.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", F.explode("bands").alias("bucket"))
     shared = nodes.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = keep(nodes.join(shared, "bucket").distinct(), "buckets")
-    roots = _resolve(spark, members, docs, shingle, similarity, id_col, text_col)
+    roots = _resolve(members, docs, shingle, similarity, id_col, text_col)
 
     named = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = printed.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
@@ -120,11 +120,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
 
 
-#: Rounds have 1, HUBS, HUBS^2, ... hubs a bucket.
-HUBS = 8
-
-
-def _resolve(spark: SparkSession, members: DataFrame, docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
+def _resolve(members: DataFrame, docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (node, root) of the components that the documents of members (node, n, bucket) make.
 
     s bounds what a node can share with another: its size at first, then the number of its shingles that any other
@@ -147,50 +143,22 @@ def _resolve(spark: SparkSession, members: DataFrame, docs: DataFrame, shingle:
                 good.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield frame.loc[good, ["a", "b"]]
 
-    roots = hubs_done = tried = None
-    members = members.withColumn("s", F.col("n"))
-    turn = 0
-    while True:
-        now = members if roots is None else members.join(roots, "node", "left")
-        now = now.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        # Buckets that are one component are over for good.
-        now = keep(now.join(split, "bucket").select("bucket", "node", "n", "s", "root"), "unsettled")
-        if turn == 1:
-            open_nodes = now.select("node").distinct()
-            held = sets.join(small(open_nodes, 12), "node", "left_semi").select("node", F.explode("hashes").alias("h"))
-            alone = held.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
-            shared = keep(alone, "alone")
-            now = now.join(small(shared, 20), "node", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).where(F.col("s") * 100 >= F.col("n") * similarity)
-            now = keep(now.select("bucket", "node", "n", "s", "root"), "supported")
-        free = now if hubs_done is None else now.join(hubs_done, ["bucket", "node"], "left_anti")
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS**turn))
-        # The node that has least of its own is the likeliest to be what the others were copied from.
-        first = F.min(F.struct(((F.col("n") - F.col("s")) / F.col("n")).alias("own"), "node", "n", "s", "root"))
-        hubs = keep(free.groupBy("bucket", slot.alias("slot")).agg(first.alias("hub")).select("bucket", "hub.*"), "hubs")
-        if hubs.isEmpty():
-            break
-        hub = hubs.select("bucket", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("s").alias("hub_s"), F.col("root").alias("hub_root"))
-        m = F.least("s", "hub_s")
-        pairs = now.join(hub, "bucket").where("root <> hub_root").where(m * 100 >= (F.col("n") + F.col("hub_n") - m) * similarity)
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        few = small(pairs, 24)
-        left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
-        right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-        found = right.join(few, "b").join(left.join(small(pairs.select("a").distinct(), 12), "a", "left_semi"), "a")
-        new = keep(found.select("a", "b", "x", "y").mapInPandas(confirm, "a long, b long").distinct(), "links")
-        tried = pairs if tried is None else keep(tried.union(pairs), "tried")
-        used = hubs.select("bucket", "node")
-        hubs_done = used if hubs_done is None else keep(hubs_done.union(used), "done")
-        if not new.isEmpty():
-            # What a component is made of matters no more: its nodes with their root are edges enough.
-            known = new if roots is None else new.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            older, roots = roots, keep(components(known), "roots")
-            release(older)
-        members = now.select("bucket", "node", "n", "s")
-        turn += 1
-    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
+    def supported(now: DataFrame) -> DataFrame:
+        held = sets.join(small(now.select("node").distinct(), 12), "node", "left_semi").select("node", F.explode("hashes").alias("h"))
+        alone = held.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("alone"))
+        now = now.join(small(keep(alone, "alone"), 20), "node", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0)))
+        return now.where(F.col("s") * 100 >= F.col("n") * similarity)
+
+    def close(mine, hubs) -> Column:
+        s = F.least(mine("s"), hubs("s"))
+        return s * 100 >= (mine("n") + hubs("n") - s) * similarity
+
+    # The node that has least of its own is the likeliest to be what the others were copied from.
+    own = (F.col("n") - F.col("s")) / F.col("n")
+    return settle(
+        members.withColumn("s", F.col("n")), ["n", "s"], close,
+        lambda pairs: pairs_with(pairs, sets, "hashes").mapInPandas(confirm, "a long, b long"), [own], supported,
+    )
 
 
 def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
