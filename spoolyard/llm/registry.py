@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, exact_dedup, html_text, licenses, mixing, near_dedup, quality, toxicity
+from . import bpe, chat_format, exact_dedup, html_text, licenses, lines, mixing, near_dedup, quality, toxicity
 
-MODULES = (licenses, mixing, quality, bpe, html_text, near_dedup, exact_dedup, chat_format, toxicity)
+MODULES = (lines, licenses, mixing, quality, bpe, html_text, near_dedup, exact_dedup, chat_format, toxicity)
 
 
 def queries() -> dict:
