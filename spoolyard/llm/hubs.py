@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import components, keep, release, small
 
-#: Rounds have 1, HUBS, HUBS^2, ... hubs a bucket.
+#: Rounds have 1, HUBS, HUBS^2, ... hubs a bucket; from the third on, all members of a bucket of up to AT_ONCE are hubs.
 HUBS = 8
+AT_ONCE = 2048
 
 
 def settle(
@@ -21,11 +22,12 @@ def settle(
     first: list[Column],
     narrow: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Rows (node long, root long): components of the links among members (bucket, node, extras).
+    """Rows (node long, root long): components of the links among members (bucket, node, bands, extras).
 
     In every round some members of each bucket, its hubs, are paired with those of its members that are in other
-    components and that close() allows; confirm() returns those of the pairs (a, b) that are links. A bucket ends when it
-    is one component or when each of its members has been a hub. So a bucket of n copies costs about n pairs, and still
+    components and that close() allows; confirm() returns those of the pairs (a, b) that are links. bands lists a member's
+    buckets, and a pair is made only in the least bucket that its two share. A bucket ends when it is one component or
+    when each of its members has been a hub. So a bucket of n copies costs about n pairs, and still
     every pair that shares a bucket is settled: compared, ruled out by close(), or joined already over others. close takes
     two functions from a column's name to the member's and to the hub's column and must be exact. first orders members: the
     least is the next hub. narrow may replace extras, or drop members that can have no link, after the first round.
@@ -33,6 +35,7 @@ def settle(
     """
     roots = hubs_done = tried = None
     turn = 0
+    extras = ["bands", *extras]
     while True:
         now = members if roots is None else members.join(roots, "node", "left")
         now = now.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
@@ -43,11 +46,16 @@ def settle(
             now = keep(narrow(now).select("bucket", "node", *extras, "root"), "narrowed")
         free = now if hubs_done is None else now.join(hubs_done, ["bucket", "node"], "left_anti")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS**turn))
+        if turn >= 2:
+            sizes = keep(free.groupBy("bucket").agg(F.count("*").alias("size")), "sizes")
+            free = free.join(small(sizes, 16), "bucket")
+            slot = F.when(F.col("size") <= AT_ONCE, F.col("node")).otherwise(slot)
         rank = F.struct(*(c.alias(f"rank{i}") for i, c in enumerate(first)), "node", *extras, "root")
         hubs = keep(free.groupBy("bucket", slot.alias("slot")).agg(F.min(rank).alias("hub")).select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", *extras, "root"))), "hubs")
         if hubs.isEmpty():
             break
-        pairs = now.join(hubs, "bucket").where("root <> hub_root").where(close(F.col, lambda c: F.col(f"hub_{c}")))
+        here = F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("bucket")
+        pairs = now.join(hubs, "bucket").where((F.col("root") != F.col("hub_root")) & here & close(F.col, lambda c: F.col(f"hub_{c}")))
         pairs = pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = keep(confirm(pairs).distinct(), "links")
