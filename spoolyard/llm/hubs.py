@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,13 +22,14 @@ def settle(
     close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     confirm: Callable[[DataFrame], DataFrame],
     first: list[Column],
+    width: int,
     narrow: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Rows (node long, root long): components of the links among members (bucket, node, bands, extras).
+    """Rows (node long, root long): components of the links among members (bucket, node, bands, band, extras).
 
     In every round some members of each bucket, its hubs, are paired with those of its members that are in other
-    components and that close() allows; confirm() returns those of the pairs (a, b) that are links. bands lists a member's
-    buckets, and a pair is made only in the least bucket that its two share. A bucket ends when it is one component or
+    components and that close() allows; confirm() returns those of the pairs (a, b) that are links. bands has a member's
+    width buckets and band the place of this one, and a pair is made only in the first bucket that its two share. A bucket ends when it is one component or
     when each of its members has been a hub. So a bucket of n copies costs about n pairs, and still
     every pair that shares a bucket is settled: compared, ruled out by close(), or joined already over others. close takes
     two functions from a column's name to the member's and to the hub's column and must be exact. first orders members: the
@@ -35,7 +38,7 @@ def settle(
     """
     roots = hubs_done = tried = None
     turn = 0
-    extras = ["bands", *extras]
+    extras = ["bands", "band", *extras]
     while True:
         now = members if roots is None else members.join(roots, "node", "left")
         now = now.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
@@ -54,8 +57,8 @@ def settle(
         hubs = keep(free.groupBy("bucket", slot.alias("slot")).agg(F.min(rank).alias("hub")).select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", *extras, "root"))), "hubs")
         if hubs.isEmpty():
             break
-        here = F.array_min(F.array_intersect("bands", "hub_bands")) == F.col("bucket")
-        pairs = now.join(hubs, "bucket").where((F.col("root") != F.col("hub_root")) & here & close(F.col, lambda c: F.col(f"hub_{c}")))
+        met_before = reduce(or_, ((F.col("band") > k) & (F.get("bands", F.lit(k)) == F.get("hub_bands", F.lit(k))) for k in range(width)))
+        pairs = now.join(hubs, "bucket").where((F.col("root") != F.col("hub_root")) & ~met_before & close(F.col, lambda c: F.col(f"hub_{c}")))
         pairs = pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         pairs = keep(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = keep(confirm(pairs).distinct(), "links")

@@ -18,8 +18,8 @@ PERMUTATIONS = 40
 #: Values in a band. 80 values make 20 bands of 4: a pair at similarity 0.85 shares no band with chance 4e-7, at 0.8 with
 #: 3e-5.
 BAND = 4
-#: Parts of the hash space that a set's members are counted in, to bound what two sets share.
-PARTS = 128
+#: 64-bit words of the bitmap that a set is hashed into, to bound what two sets share.
+WORDS = 32
 #: Shingles that are hashed at once.
 CHUNK = 1 << 13
 
@@ -111,7 +111,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     printed = keep(_frames(docs, id_col, text_col).mapInPandas(prints, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
     linked = printed.where("doc_id is not null and n > 0")
     classes = keep(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = linked.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "bands", F.explode("bands").alias("bucket"))
+    nodes = linked.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
     shared = nodes.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = keep(nodes.join(shared, "bucket"), "buckets")
     roots = _resolve(members, docs, shingle, similarity, id_col, text_col)
@@ -126,9 +126,9 @@ def _resolve(members: DataFrame, docs: DataFrame, shingle: int, similarity: int,
     """Rows (node, root) of the components that the documents of members (node, n, bands, bucket) make.
 
     s bounds what a node can share with another: its size at first, then the number of its shingles that any other
-    node still in question has too; parts has this number for each of PARTS parts of the hash space. |A and B| is at most
-    the lesser s, and the sum over the parts of the lesser count. A pair with 100 * m < similarity * (|A| + |B| - m) for
-    such a bound m cannot be linked and is not compared, and a node with 100 * s < similarity * n is out.
+    node still in question has too; bits is a bitmap of these. |A and B| is at most s of either less the bits that only
+    its bitmap has. A pair with 100 * m < similarity * (|A| + |B| - m) for such a bound m cannot be linked and is not
+    compared, and a node with 100 * s < similarity * n is out.
     """
 
     def full_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,30 +146,35 @@ def _resolve(members: DataFrame, docs: DataFrame, shingle: int, similarity: int,
                 good.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield frame.loc[good, ["a", "b"]]
 
-    def count_parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bitmaps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             shared = [np.setdiff1d(x, [] if y is None else y, assume_unique=True) for x, y in zip(frame["hashes"], frame["alone"], strict=True)]
-            parts = [np.bincount(x.astype(np.int64) & (PARTS - 1), minlength=PARTS).astype(np.int32) for x in shared]
-            yield pd.DataFrame({"node": frame["node"], "s": list(map(len, shared)), "parts": parts})
+            bits = []
+            for x in shared:
+                row = np.zeros(64 * WORDS, np.uint8)
+                row[x.astype(np.int64) & (64 * WORDS - 1)] = 1
+                bits.append(np.packbits(row).view(np.int64))
+            yield pd.DataFrame({"node": frame["node"], "s": list(map(len, shared)), "bits": bits})
 
     def supported(now: DataFrame) -> DataFrame:
         held = keep(sets.join(small(now.select("node").distinct(), 12), "node", "left_semi"), "open-sets")
         alone = held.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.collect_list("h").alias("alone"))
-        counted = held.join(alone, "node", "left").mapInPandas(count_parts, "node long, s long, parts array<int>")
-        # An id with several texts has no counts of its own.
-        counted = counted.groupBy("node").agg(F.max("s").alias("s"), F.when(F.count("*") == 1, F.first("parts")).alias("parts"))
-        return now.drop("s", "parts").join(small(keep(counted, "counted"), 8 * PARTS), "node").where(F.col("s") * 100 >= F.col("n") * similarity)
+        counted = held.join(alone, "node", "left").mapInPandas(bitmaps, "node long, s long, bits array<long>")
+        # An id with several texts has no bitmap of its own.
+        counted = counted.groupBy("node").agg(F.max("s").alias("s"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+        return now.drop("s", "bits").join(small(keep(counted, "counted"), 16 * WORDS), "node").where(F.col("s") * 100 >= F.col("n") * similarity)
 
     def close(mine, hubs) -> Column:
         enough = lambda m: m * 100 >= (mine("n") + hubs("n") - m) * similarity
-        common = F.aggregate(F.zip_with(mine("parts"), hubs("parts"), lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-        return enough(F.least(mine("s"), hubs("s"))) & F.coalesce(enough(common), F.lit(True))
+        only = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(WORDS)), F.lit(0))
+        tight = F.least(mine("s") - only(mine("bits"), hubs("bits")), hubs("s") - only(hubs("bits"), mine("bits")))
+        return enough(F.least(mine("s"), hubs("s"))) & F.coalesce(enough(tight), F.lit(True))
 
     # The node that has least of its own is the likeliest to be what the others were copied from.
     own = (F.col("n") - F.col("s")) / F.col("n")
     return settle(
-        members.withColumn("s", F.col("n")).withColumn("parts", F.lit(None).cast("array<int>")), ["n", "s", "parts"], close,
-        lambda pairs: pairs_with(pairs, sets, "hashes").mapInPandas(confirm, "a long, b long"), [own], supported,
+        members.withColumn("s", F.col("n")).withColumn("bits", F.lit(None).cast("array<long>")), ["n", "s", "bits"], close,
+        lambda pairs: pairs_with(pairs, sets, "hashes").mapInPandas(confirm, "a long, b long"), [own], 2 * PERMUTATIONS // BAND, supported,
     )
 
 
