@@ -67,6 +67,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain_col: str = "lang",
     }
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated a single time, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def memberships(model: dict, buckets: Column) -> Column:
     """Posterior of each domain (array of double) from an array of word buckets; the prior for texts without words.
 
@@ -79,10 +84,6 @@ def memberships(model: dict, buckets: Column) -> Column:
         total = F.aggregate(buckets, F.lit(0.0), lambda acc, b: acc + F.get(w, b))
         return F.lit(prior) + F.when(n > 0, total / n * F.least(n, F.lit(EVIDENCE))).otherwise(0.0)
 
-    def once(value: Column, then: Callable[[Column], Column]) -> Column:
-        """then(value) with value evaluated a single time, as a lambda's variable."""
-        return F.get(F.transform(F.array(value), then), 0)
-
     odds = F.array(*(logit(a, w) for a, w in zip(model["prior"], model["weights"], strict=True)))
     scaled = once(odds, lambda x: once(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(v - m))))
     return once(scaled, lambda x: once(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), lambda s: F.transform(x, lambda v: v / s)))
@@ -162,7 +163,7 @@ def repeat_to_mix(docs: DataFrame, labels: DataFrame, smoothing: float = 0.7, do
         return docs
     soft = keep(with_memberships(docs, model), "memberships")
     steps = fit_rates(soft, model["domains"], smoothing=smoothing)
-    rate = rate_of(memberships(model, F.transform(words_of(F.col("text")), bucket_of)), steps)
+    rate = once(F.transform(words_of(F.col("text")), bucket_of), lambda b: once(memberships(model, b), lambda p: rate_of(p, steps)))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(1 << 20)
     times = F.greatest(F.lit(1), F.floor(rate + draw).cast("int"))
     return docs.select("*", F.explode(F.sequence(F.lit(1), times)).alias("_copy_of_mix")).drop("_copy_of_mix")
