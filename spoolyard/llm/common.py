@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +52,11 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value evaluated a single time, as a lambda's variable."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def without_blanks(text: Column) -> Column:
     """text less every character of [\\x20\\x09-\\x0D]; byte search, much faster than a regular expression."""
     for c in BLANKS:

@@ -9,7 +9,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, read, small
+from .common import keep, once, read, small
 
 #: Licence notices (fixed values).
 TEMPLATES = {
@@ -36,10 +36,6 @@ def template_words(text: str) -> list[str]:
     return [w for w in re.split(_SPLIT, text.lower()) if w]
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), _SPLIT), lambda w: w != "")
-
-
 def anchors_of(idf: dict[str, float], templates: dict[str, str], least: float) -> list[str]:
     """Words one of which any line that reaches least must have: without its anchors a template's vector is too short.
 
@@ -74,7 +70,7 @@ def scan_headers(files: DataFrame, templates: dict[str, str] | None = None, leas
     vocabulary = sorted({w for t in templates.values() for w in template_words(t)})
     lines = files.select("path", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line")).where("line <> ''")
     vocab = F.array(*map(F.lit, vocabulary))
-    known = lines.select(F.array_intersect(words_of(F.col("line")), vocab).alias("known"))
+    known = lines.select(F.array_intersect(F.split(F.lower("line"), _SPLIT), vocab).alias("known"))
     # The lines are counted by a row of their own, under a name that is no word.
     seen = known.select(F.explode(F.concat("known", F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     df = {r.word: r.n for r in seen.collect()}
@@ -83,32 +79,41 @@ def scan_headers(files: DataFrame, templates: dict[str, str] | None = None, leas
     other = math.log(1 + total) + 1
 
     anchors = F.array(*map(F.lit, anchors_of(idf, templates, least)))
-    weighed = lines.withColumn("w", words_of(F.col("line"))).where(F.arrays_overlap("w", anchors))
-    weighed = weighed.select("path", F.col("line_no").cast("long").alias("line_no"), F.array_sort("w").alias("w"))
-    count_of = lambda word: F.size(F.filter("w", lambda x: x == word))
-    counts = F.transform(vocab, count_of)
-    weighed = weighed.withColumn("c", counts)
-    # The squared counts of all words, by runs of the sorted words.
-    start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
-    step = lambda acc, x: F.struct(
-        x.alias("word"),
-        F.when(x == acc["word"], acc["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
-        # n^2 grows by 2n - 1 with the n-th occurrence
-        (acc["sum"] + F.when(x == acc["word"], 2 * acc["run"] + 1).otherwise(F.lit(1).cast("long"))).alias("sum"),
-    )
-    squares = F.aggregate("w", start, step)["sum"]
-    own = F.aggregate("c", F.lit(0).cast("long"), lambda s, n: s + n * n)
     idfs = F.array(*(F.lit(idf[w]) for w in vocabulary))
-    inside = F.aggregate(F.zip_with("c", idfs, lambda n, i: n * i * n * i), F.lit(0.0), lambda s, v: s + v)
-    weighed = weighed.withColumn("norm", F.sqrt(inside + (squares - own) * F.lit(other * other)))
-    scored = []
-    for name, text in templates.items():
-        tf = Counter(template_words(text))
-        length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
-        dot = sum((F.get("c", F.lit(vocabulary.index(w))) * F.lit(n * idf[w] ** 2) for w, n in sorted(tf.items())), F.lit(0.0))
-        scored.append(F.struct((-F.round(dot / F.col("norm") / F.lit(length), 9)).alias("less"), F.lit(name).alias("license")))
-    best = F.array_min(F.array(*scored))
-    out = weighed.select("path", "line_no", best.alias("best")).where(-F.col("best.less") >= least)
+    lengths = {name: math.sqrt(sum((n * idf[w]) ** 2 for w, n in Counter(template_words(t)).items())) for name, t in templates.items()}
+
+    def nearest(w: Column, c: Column) -> Column:
+        """(-cosine, license) of the nearest template, from the sorted words and the counts of the vocabulary's."""
+        # The squared counts of all words, by runs: n^2 grows by 2n - 1 with the n-th occurrence.
+        start = F.struct(F.lit("").alias("word"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("sum"))
+        step = lambda acc, x: F.struct(
+            x.alias("word"),
+            F.when(x == acc["word"], acc["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"),
+            (acc["sum"] + F.when(x == acc["word"], 2 * acc["run"] + 1).otherwise(F.lit(1).cast("long"))).alias("sum"),
+        )
+        own = F.aggregate(c, F.lit(0).cast("long"), lambda s, n: s + n * n)
+        inside = F.aggregate(F.zip_with(c, idfs, lambda n, i: n * i * n * i), F.lit(0.0), lambda s, v: s + v)
+        norm = F.sqrt(inside + (F.aggregate(w, start, step)["sum"] - own) * F.lit(other * other))
+
+        def scored(norm: Column) -> Column:
+            out = []
+            for name, text in templates.items():
+                tf = sorted(Counter(template_words(text)).items())
+                dot = sum((F.get(c, F.lit(vocabulary.index(x))) * F.lit(n * idf[x] ** 2) for x, n in tf), F.lit(0.0))
+                out.append(F.struct((-F.round(dot / norm / F.lit(lengths[name]), 9)).alias("less"), F.lit(name).alias("license")))
+            return F.array_min(F.array(*out))
+
+        return once(norm, scored)
+
+    def best(w: Column) -> Column:
+        counts = F.transform(vocab, lambda word: F.size(F.filter(w, lambda x: x == word)))
+        return once(counts, lambda c: nearest(w, c))
+
+    # Generators keep the planner from repeating these expressions in filters.
+    words = F.filter(F.array(F.split(F.lower("line"), _SPLIT)), lambda w: F.arrays_overlap(w, anchors))
+    anchored = lines.select("path", F.col("line_no").cast("long").alias("line_no"), F.explode(words).alias("w"))
+    found = F.filter(F.array(once(F.array_sort(F.filter("w", lambda x: x != "")), best)), lambda b: -b["less"] >= least)
+    out = anchored.select("path", "line_no", F.explode(found).alias("best"))
     return out.select("path", "line_no", F.col("best.license").alias("license"), (-F.col("best.less")).alias("cosine"))
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, keep, read, release
+from .common import BLANKS, keep, once, read, release
 
 #: Labelled rows that the classifier is fitted on, at most (those of the least hashes of their id).
 SAMPLE_ROWS = 5000
@@ -67,11 +67,6 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domain_col: str = "lang",
     }
 
 
-def once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value) with value evaluated a single time, as a lambda's variable."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def memberships(model: dict, buckets: Column) -> Column:
     """Posterior of each domain (array of double) from an array of word buckets; the prior for texts without words.
 
