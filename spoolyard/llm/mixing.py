@@ -18,9 +18,10 @@ MAX_DOMAINS = 32
 BUCKETS = 4096
 #: Words of evidence that a posterior rests on at most, so that memberships stay soft however long a text is.
 EVIDENCE = 12
-#: Steps of the projected gradient at most, and the relative error at which it ends.
+#: Steps of the projected gradient at most; it ends at this error, or when the error moves by less than STALLED, as shares
+#: of all tokens.
 STEPS = 60
-ENOUGH = 1e-5
+ENOUGH, STALLED = 1e-5, 1e-5
 
 
 def words_of(text: Column) -> Column:
@@ -121,10 +122,13 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: Mapping[str, float]
         wanted = [float((targets or {}).get(d, 0.0)) if targets else 1.0 for d in domains]
         goal = [w / sum(wanted) * (tokens or total) for w in wanted]
     steps: list[list[float]] = []
+    last = math.inf
     for _ in range(STEPS):
         error = [x - g for x, g in zip(now, goal, strict=True)]
-        if max(map(abs, error)) <= ENOUGH * total:
+        worst = max(map(abs, error))
+        if worst <= ENOUGH * total or abs(last - worst) <= STALLED * total:
             break
+        last = worst
         steps.append([0.9 * e / c if c else 0.0 for e, c in zip(error, curve, strict=True)])
         rate = rate_of(F.col("p"), steps)
         now = [x or 0.0 for x in soft.select((F.col("n_tokens") * rate).alias("t"), "p").agg(*(F.sum(F.col("t") * p[d]) for d in range(k))).first()]
