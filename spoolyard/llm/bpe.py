@@ -21,9 +21,9 @@ from .common import read, ship
 #: Matrix widths; a piece goes to the narrowest that holds its bytes. Longer pieces are merged by a heap.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 #: Cells of one matrix, which bounds memory whatever the batch holds.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Code points of text that are encoded together.
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 NONE = np.int64(1) << 40
 _PAD = -1

@@ -30,7 +30,7 @@ WINDOW = 6
 #: Words that report speech rather than use it (fixed values).
 REPORTING = frozenset("said says saying called calls quote quoted quotes term word words phrase sagte sagt nannte wort dit mot dijo palabra".split())
 #: States and words that a worker remembers, at most; beyond that it starts afresh, with the same results.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 WORD = re.compile(r"[^\W_]+")
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›"}
