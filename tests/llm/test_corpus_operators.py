@@ -202,6 +202,39 @@ def test_lines_match_all_pairs(spark):
         assert clean[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i])
 
 
+def edited_lines(seed, n):
+    """Pairs of different normalised lines of edit similarity 0.9 or more: words replaced, or letters anywhere."""
+    pick = random.Random(seed)
+    word = lambda k: "".join(pick.choices("abcdefghilmnorstu", k=k))
+    pairs = []
+    while len(pairs) < n:
+        a = [word(pick.randint(2, 9)) for _ in range(pick.choice((4, 8, 12, 20, 33, 60)))]
+        b, edits = list(a), pick.randint(1, max(1, len(" ".join(a)) // 10))
+        for _ in range(edits if len(pairs) % 2 else 1):
+            k = pick.randrange(len(b))
+            at = pick.randrange(len(b[k]))
+            b[k] = b[k][:at] + word(1) + b[k][at + pick.randint(0, 1) :] if len(pairs) % 2 else word(len(b[k]))
+        a, b = " ".join(a), " ".join(b)
+        if a != b and plain_edit(a, b):
+            pairs.append((a, b))
+    return pairs
+
+
+def test_lines_of_edit_similarity_are_found(spark):
+    pairs = edited_lines(5, 400)
+    docs = spark.createDataFrame([(i, "\n".join(p)) for i, p in enumerate(pairs)], "doc_id long, text string")
+    found = sum(r.n_dropped for r in lines.line_dedup(docs).collect())
+    print("recall of pairs", found / len(pairs))
+    assert found >= 0.97 * len(pairs)
+
+
+def test_letter_counts_rule_no_similar_line_out():
+    a, b = (list(x) for x in zip(*edited_lines(7, 300), strict=True))
+    counts = [lines.sketches(x, np.arange(len(x)))[1].view(np.uint64) for x in (a, b)]
+    apart = np.bitwise_count(counts[0] ^ counts[1]).sum(axis=1)
+    assert all(n <= 2 * (max(len(x), len(y)) // 10) for n, x, y in zip(apart, a, b, strict=True))
+
+
 def test_lines_odd_rows(odd):
     rows = {r.doc_id: r for r in lines.line_dedup(odd).collect()}
     assert set(rows) == {i for i, _ in ODD}
