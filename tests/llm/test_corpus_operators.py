@@ -235,6 +235,12 @@ def test_letter_counts_rule_no_similar_line_out():
     assert all(n <= 2 * (max(len(x), len(y)) // 10) for n, x, y in zip(apart, a, b, strict=True))
 
 
+def test_short_lines_are_exact_copies(spark):
+    rows = [(1, "Read more\n2024\n这是一个没有空格的句子\n\n***"), (2, " Read more\n\n2024\nread more\n这是一个没有空格的句子\n2025"), (3, "***\n***\n \t")]
+    got = {r.doc_id: r.dropped_lines for r in lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [0, 2, 4], 3: [0, 1]}
+
+
 def test_lines_odd_rows(odd):
     rows = {r.doc_id: r for r in lines.line_dedup(odd).collect()}
     assert set(rows) == {i for i, _ in ODD}
