@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,12 @@ MAX_DOMAINS = 32
 BUCKETS = 4096
 #: Words of evidence that a posterior rests on at most, so that memberships stay soft however long a text is.
 EVIDENCE = 12
-#: Steps of the projected gradient at most; it ends at this error, or when the error moves by less than STALLED, as shares
-#: of all tokens.
-STEPS = 60
-ENOUGH, STALLED = 1e-5, 1e-5
+#: Steps of the projected gradient at most; it ends at this error, a share of all tokens, or when the error moves by less than
+#: the share STALLED of itself in STALLS steps on end. Rates are written every WRITTEN steps.
+STEPS, WRITTEN = 200, 16
+ENOUGH, STALLED, STALLS = 1e-5, 0.005, 3
+#: Terms up to which the steps of a rate are written out in one expression; beyond that a fold takes their place.
+TERMS = 512
 
 
 def words_of(text: Column) -> Column:
@@ -93,7 +96,14 @@ def with_memberships(docs: DataFrame, model: dict) -> DataFrame:
 
 def rate_of(p: Column, steps: list[list[float]]) -> Column:
     """The rate of a document after these gradient steps: it starts at 1 and is cut off at 0 after each."""
-    rate = F.lit(1.0)
+    return moved(F.lit(1.0), p, steps)
+
+
+def moved(rate: Column, p: Column, steps: list[list[float]]) -> Column:
+    """A rate after further steps."""
+    if sum(map(len, steps)) > TERMS:
+        less = lambda step: F.aggregate(F.zip_with(p, step, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+        return F.aggregate(F.array(*map(numbers, steps)), rate, lambda acc, step: F.greatest(F.lit(0.0), acc - less(step)))
     for step in steps:
         rate = F.greatest(F.lit(0.0), rate - sum((F.get(p, F.lit(d)) * F.lit(s) for d, s in enumerate(step) if s), F.lit(0.0)))
     return rate
@@ -104,7 +114,8 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: Mapping[str, float]
 
     Minimises the sum over domains of (expected tokens - target)^2 over the tokens squared by membership, over rates of
     documents that are not negative: every step sums the table in parallel, sends the driver one number for each domain,
-    and moves a document's rate by its memberships. targets are weights (equal if None) and tokens their total (as now if
+    and moves a document's rate by its memberships, until the error is ENOUGH. Targets that are not met are reported by a
+    warning. targets are weights (equal if None) and tokens their total (as now if
     None). With smoothing, the weights are the present shares to that power and the total is such that no domain shrinks.
     """
     k = len(domains)
@@ -121,17 +132,32 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: Mapping[str, float]
     else:
         wanted = [float((targets or {}).get(d, 0.0)) if targets else 1.0 for d in domains]
         goal = [w / sum(wanted) * (tokens or total) for w in wanted]
+    # Memberships add up to 1, so now is also the row sums of the domains' Gram matrix, tokens times membership times
+    # membership: with row sums of the scaled matrix of 1.8 at most, under 2, no step overshoots however domains overlap.
+    size = [min(0.9 / c, 1.8 / x) if c else 0.0 for x, c in zip(now, curve, strict=True)]
     steps: list[list[float]] = []
-    last = math.inf
-    for _ in range(STEPS):
+    state, fresh = soft.withColumn("rate", F.lit(1.0)), []
+    last, stalls = math.inf, 0
+    while True:
         error = [x - g for x, g in zip(now, goal, strict=True)]
         worst = max(map(abs, error))
-        if worst <= ENOUGH * total or abs(last - worst) <= STALLED * total:
+        stalls = stalls + 1 if abs(last - worst) <= STALLED * worst else 0
+        if worst <= ENOUGH * total or stalls >= STALLS or len(steps) >= STEPS:
             break
         last = worst
-        steps.append([0.9 * e / c if c else 0.0 for e, c in zip(error, curve, strict=True)])
-        rate = rate_of(F.col("p"), steps)
-        now = [x or 0.0 for x in soft.select((F.col("n_tokens") * rate).alias("t"), "p").agg(*(F.sum(F.col("t") * p[d]) for d in range(k))).first()]
+        step = [e * x for e, x in zip(error, size, strict=True)]
+        steps.append(step)
+        fresh.append(step)
+        rates = state.select("n_tokens", "p", moved(F.col("rate"), F.col("p"), fresh).alias("rate"))
+        if len(fresh) == WRITTEN:
+            older, state, fresh = state, keep(rates, "rates"), []
+            release(older)
+            rates = state
+        now = [x or 0.0 for x in rates.select((F.col("n_tokens") * F.col("rate")).alias("t"), "p").agg(*(F.sum(F.col("t") * p[d]) for d in range(k))).first()]
+    release(state)
+    if worst > ENOUGH * total:
+        at = max(range(k), key=lambda d: abs(error[d]))
+        warnings.warn(f"targets not met after {len(steps)} steps: {domains[at]!r} has {now[at]:.0f} expected tokens for a target of {goal[at]:.0f}", stacklevel=2)
     return steps
 
 

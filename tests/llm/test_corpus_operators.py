@@ -326,6 +326,21 @@ def test_rates_stop_at_zero_like_the_plain_gradient(spark):
     assert np.allclose(got, rate) and (got == 0).any()
 
 
+def test_rates_of_many_overlapping_domains_meet_their_targets(spark):
+    pick = np.random.default_rng(11)
+    k = 12
+    p = pick.dirichlet([0.5] * k, 300)
+    n = pick.integers(1, 90, 300)
+    goal = (n * pick.uniform(0.3, 2, 300)) @ p
+    names = [f"d{d:02}" for d in range(k)]
+    soft = spark.createDataFrame([(int(a), x.tolist()) for a, x in zip(n, p, strict=True)], "n_tokens long, p array<double>").coalesce(1)
+    steps = mixing.fit_rates(soft, names, dict(zip(names, goal.tolist(), strict=True)), tokens=float(goal.sum()))
+    rates = np.array([r[0] for r in soft.select(mixing.rate_of(F.col("p"), steps)).collect()])
+    assert np.abs((rates * n) @ p - goal).max() <= 2e-5 * n.sum()
+    with pytest.warns(UserWarning, match="not met"):
+        mixing.fit_rates(soft, names, {names[0]: 1.0})
+
+
 def test_repeating_keeps_every_row(spark, sf_dir, odd):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = mixing.repeat_to_mix(docs, labels)
