@@ -6,15 +6,14 @@ import math
 import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, keep, once, read, release
+from .common import BLANKS, keep, once, read, release, small
 
-#: Labelled rows that the classifier is fitted on, at most (those of the least hashes of their id).
-SAMPLE_ROWS = 5000
-#: Domains at most; the rest of the labels are left out, rarest first.
-MAX_DOMAINS = 32
+#: Labelled ids that the classifier is fitted on (those of the least hashes), and those of each domain that are besides,
+#: so that no domain is left out however rare.
+SAMPLE_ROWS, DOMAIN_ROWS = 5000, 50
 #: Buckets of hashed words.
 BUCKETS = 4096
 #: Words of evidence that a posterior rests on at most, so that memberships stay soft however long a text is.
@@ -47,21 +46,27 @@ def numbers(values: list[float]) -> Column:
 def fit_classifier(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> dict:
     """A multinomial model of hashed words for each domain, from the documents that the label table lists.
 
-    Rows without an id or a domain are left out. What comes to the driver is BUCKETS counts for each of MAX_DOMAINS
-    domains at most.
+    Rows without an id or a domain are left out. Every domain with a labelled row is one of the model; priors are shares of
+    all labelled rows. What comes to the driver is BUCKETS counts and a number of rows for each domain.
     """
     listed = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    listed = listed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain_col).cast("string").alias("domain"), "text").join(F.broadcast(listed), "doc_id").where("domain is not null")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain_col).cast("string").alias("domain")).where("domain is not null")
+    named = keep(named.join(listed, "doc_id"), "domains")
+    found = named.groupBy("domain").agg(F.count("*").alias("n")).collect()
+    hashed = F.xxhash64("doc_id")
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(hashed, "doc_id"))
+    rare = named.withColumn("place", place).where(F.col("place") <= DOMAIN_ROWS).select("doc_id")
+    picked = listed.orderBy(hashed, "doc_id").limit(sample_rows).union(rare).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(domain_col).cast("string").alias("domain"), "text").join(small(picked, 12), "doc_id").where("domain is not null")
     sizes = keep(rows.select("domain", F.transform(words_of(F.col("text")), bucket_of).alias("b")), "labelled")
-    found = sizes.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(MAX_DOMAINS).collect()
     domains = sorted(r.domain for r in found)
     total = sum(r.n for r in found)
-    counts = sizes.where(F.col("domain").isin(domains)).select("domain", F.explode("b").alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n"))
+    counts = sizes.select("domain", F.explode("b").alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n"))
     table = {d: [0.5] * BUCKETS for d in domains}
     for r in counts.collect():
         table[r.domain][r.b] += r.n
     release(sizes)
+    release(named)
     logs = {d: [math.log(x) - math.log(sum(v)) for x in v] for d, v in table.items()}
     mean = [sum(logs[d][b] for d in domains) / len(domains) for b in range(BUCKETS)] if domains else []
     return {
@@ -118,6 +123,8 @@ def fit_rates(soft: DataFrame, domains: list[str], targets: Mapping[str, float]
     warning. targets are weights (equal if None) and tokens their total (as now if
     None). With smoothing, the weights are the present shares to that power and the total is such that no domain shrinks.
     """
+    if unknown := sorted(set(targets or {}) - set(domains)):
+        raise ValueError(f"targets name unknown domains: {unknown}")
     k = len(domains)
     p = [F.get("p", F.lit(d)) for d in range(k)]
     first = soft.agg(*(F.sum(F.col("n_tokens") * p[d]) for d in range(k)), *(F.sum(F.col("n_tokens") * p[d] * p[d]) for d in range(k))).first()
@@ -166,10 +173,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] | None
 
     rate says how often a document is to be taken, 0 for never; over all rows, tokens times rate times membership adds
     up to the domain's target. Null and empty texts have no tokens and the prior's memberships; null ids and repeated rows
-    pass through; with no labelled rows, or no tokens at all, every rate is 1. Further columns are not read.
+    pass through; a target of a domain without a labelled row is a ValueError; with no labelled rows, or no tokens at all, every rate is 1. Further columns are not read.
     """
     model = fit_classifier(docs, labels, domain_col)
-    if not model["domains"]:
+    if not model["domains"] and not targets:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"), F.create_map().cast("map<string,double>").alias("memberships"), F.lit(1.0).alias("rate"))
     soft = keep(with_memberships(docs, model), "memberships")
     steps = fit_rates(soft, model["domains"], targets, tokens)

@@ -341,6 +341,16 @@ def test_rates_of_many_overlapping_domains_meet_their_targets(spark):
         mixing.fit_rates(soft, names, {names[0]: 1.0})
 
 
+def test_mixing_knows_every_labelled_domain(spark):
+    rows = [(i, f"lang{i % 40}", f"w{i % 40}a w{i % 40}b w{i % 40}c") for i in range(400)] + [(1000, "rare", "very seldom seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    model = mixing.fit_classifier(docs, docs.select("doc_id"), sample_rows=5)
+    assert model["domains"] == sorted({r[1] for r in rows}) and abs(sum(map(math.exp, model["prior"])) - 1) < 1e-9
+    few = docs.where("lang in ('lang1', 'rare')")
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mix(few, few.select("doc_id"), {"rare": 0.5, "nowhere": 0.5})
+
+
 def test_repeating_keeps_every_row(spark, sf_dir, odd):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = mixing.repeat_to_mix(docs, labels)
