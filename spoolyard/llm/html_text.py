@@ -28,9 +28,26 @@ TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<(" + "|".join(RAW) + r")\b[^>]*?(?:/>|>(?:.*?</\1\s*>|.*\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 PART = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+#: Attributes of a tag: name, and its value in double, single or no quotes.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
+
+
+def hidden(attributes: str) -> bool:
+    """Whether a tag's hidden or aria-hidden attribute, or display:none in its style, hides it; class names do not."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if name == "hidden" and value not in ("false", "until-found") or name == "aria-hidden" and value == "true" or name == "style" and NOT_SHOWN.search(value):
+            return True
+    return False
+
+
+def parts_of(token: str) -> list[str]:
+    """The words of a class or id: its parts if all of them are words of PARTS, as in cookie-banner; else the whole, as in has-sidebar."""
+    parts = PART.findall(token)
+    return parts if parts and KNOWN.issuperset(parts) else [token]
 
 
 Context = tuple[tuple[str, ...], ...]
@@ -40,7 +57,7 @@ def tokens_of(page: str) -> Iterator[tuple[str, Context, str]]:
     """(kind, context, text) of a page in order: kind is "text", "tag" or "break" (a tag that ends a block).
 
     The context of a piece of text holds the features of each section element that is open there: "<name>", ".word" for
-    each word of its class, id and role (but for the body's), "hidden" where markup hides it; and for a link ("a", or "a<ul>"
+    each whole word of its class, id and role (but for the body's), "hidden" where markup hides it; and for a link ("a", or "a<ul>"
     in a list). A section's end tag closes it and what is open inside; an end tag without a start tag is passed over, so
     unclosed elements do no harm.
     """
@@ -50,7 +67,8 @@ def tokens_of(page: str) -> Iterator[tuple[str, Context, str]]:
 
     def seen() -> Context:
         link = "a<ul>" if open_ and open_[-1][0] in ("ul", "ol", "menu") else "a"
-        return (*dict.fromkeys(features for _, features in open_), *([(link,)] if links else []))
+        # Of elements with the same features the innermost counts.
+        return (*reversed(dict.fromkeys(features for _, features in reversed(open_))), *([(link,)] if links else []))
 
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -69,9 +87,9 @@ def tokens_of(page: str) -> Iterator[tuple[str, Context, str]]:
                         pass
                     links = 0
             elif not m[4].endswith("/"):
-                words = [f".{w}" for x in NAMES.findall(m[4]) for w in PART.findall("".join(x).lower())] if name != "body" else []
+                words = [f".{w}" for x in NAMES.findall(m[4]) for token in "".join(x).lower().split() for w in parts_of(token)] if name != "body" else []
                 words = list(dict.fromkeys(words))
-                open_.append((name, (f"<{name}>", *words, *(["hidden"] if HIDDEN.search(m[4]) else []))))
+                open_.append((name, (f"<{name}>", *words, *(["hidden"] if hidden(m[4]) else []))))
             context = seen()
         yield ("break" if name in BLOCKS else "tag"), context, name
     if at < len(page):
@@ -100,6 +118,8 @@ PARTS = [
     (0, "<dialog>Are you sure?</dialog><menu>Open Save</menu><fieldset>Your name</fieldset><button>Press</button>"),
     (0, '<div hidden>Not to be seen by anyone</div><div style="display:none" class="hidden">Nor is this one</div>'),
 ]
+#: The words of their classes, ids and roles.
+KNOWN = frozenset(w for _, markup in PARTS for x in NAMES.findall(markup) for w in PART.findall("".join(x)))
 FILL = 'It rained for most of the day and <a href="/t">the people</a> of the town stayed at home until the evening came.'
 
 
@@ -132,12 +152,17 @@ def learn_weights(pages: list[list[tuple[int, str]]]) -> dict[str, float]:
 
 #: An element whose features weigh this much or less is no content, whatever stands around it.
 CLEAR = -2.0
+#: Elements that hold a page's content: what the class words of an element around them say against it does not count inside.
+HOLDERS = ("<article>", "<main>")
 
 
 def word_score(context: Context, weights: dict[str, float]) -> float:
     """Score of a word: the plain word's weight and those of all features of its context; -1 where these are negative, or
-    where one element speaks clearly against content, as an advert inside an article is an advert."""
+    where one element speaks clearly against content, as an advert inside an article is an advert. Elements around the
+    innermost article or main count only where they speak for content, are hidden, or are no content by their name alone."""
     sums = [sum(weights.get(f, 0.0) for f in element) for element in context]
+    inner = max((i for i, element in enumerate(context) if element[0] in HOLDERS), default=0)
+    sums = [x if i >= inner or "hidden" in element or weights.get(element[0], 0.0) <= CLEAR else max(0.0, x) for i, (x, element) in enumerate(zip(sums, context, strict=True))]
     total = weights["word"] + sum(sums)
     if total < 0 or any(x <= CLEAR for x, element in zip(sums, context, strict=True) if element[0][0] != "a"):
         return -1.0

@@ -164,6 +164,23 @@ def test_broken_pages(page, text):
     assert html_text.extract(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ['<div class="overflow-hidden">', '<div class="row has-sidebar">', '<div class="sidebar widget">', '<div class="no-ads not-hidden" data-hidden="x">', '<section title="hidden">', '<div hidden="until-found">'],
+)
+def test_wrappers_do_not_drop_the_article(wrapper):
+    name = wrapper[1:].split()[0]
+    page = f'<body>{wrapper}<article><p>The whole story of the day</p><div class="sidebar widget">More about it</div></article></{name}></body>'
+    assert html_text.extract(page, WEIGHTS) == "The whole story of the day"
+
+
+@pytest.mark.parametrize("tag", ["<div hidden>", '<div style="color:red; display:none">', '<div aria-hidden="true">', '<aside class="related">'])
+def test_hidden_and_side_parts_stay_out(tag):
+    name = tag[1:].split()[0].rstrip(">")
+    page = f"<body><article><p>The whole story of the day</p></article>{tag}<article>Nothing to see</article></{name}></body>"
+    assert html_text.extract(page, WEIGHTS) == "The whole story of the day"
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, None, None, 1), (None, "u", "<p>x</p>", 2), (3, "u", "<p>x</p>", 3), (3, "u", "<p>x</p>", 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
