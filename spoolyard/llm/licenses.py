@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,111 @@ LEAST = 0.85
 _SPLIT = "[^a-z0-9]+"
 
 
+#: Full names, for the short forms that name a licence.
+NAMES = {
+    "AGPL-3.0": ("GNU Affero General Public License v3.0", "GNU AGPLv3"),
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    "GPL-2.0": ("GNU General Public License v2.0", "GNU GPLv2"),
+    "GPL-3.0": ("GNU General Public License v3.0", "GNU GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License v2.1", "GNU LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License v3.0", "GNU LGPLv3"),
+    "MIT": ("MIT License", "The MIT License (MIT)"),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0"),
+}
+SHORT = ("SPDX-License-Identifier: {0}", "{1}", "Released under the {1}.", "Licensed under the {1}.", "This project is licensed under the {1}.", "This project is licensed under the {1} - see the LICENSE file for details.")
+_GNU = """This {0} is free software: you can redistribute it and/or modify it under the terms of the {1} as published by the Free
+Software Foundation, either version {2} of the License, or (at your option) any later version. This {0} is distributed in the
+hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A
+PARTICULAR PURPOSE. See the {1} for more details. You should have received a copy of the {1} along with this {0}. If not, see
+<https://www.gnu.org/licenses/>."""
+#: Standard headers of source files.
+HEADERS = {
+    "AGPL-3.0": _GNU.format("program", "GNU Affero General Public License", "3"),
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
+agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS
+OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under
+the License.""",
+    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "GPL-2.0": _GNU.format("program", "GNU General Public License", "2"),
+    "GPL-3.0": _GNU.format("program", "GNU General Public License", "3"),
+    "LGPL-2.1": _GNU.format("library", "GNU Lesser General Public License", "2.1"),
+    "LGPL-3.0": _GNU.format("library", "GNU Lesser General Public License", "3"),
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+}
+#: One of these is in every template and in every text that is weighed against them.
+TELLING = "(?i)licen[cs]|spdx|cc[ -]by|cc0|gnu|redistribut|permission is hereby"
+#: Copyright statements, which name somebody else in each file and are no part of a licence.
+COPYRIGHT = r"(?i)(?:copyright\s*(?:\(c\)|©)?|\(c\)|©)\s*\d{4}[^\n.]*\.?|all rights reserved\.?"
+#: What begins a comment line.
+COMMENT = r"^\s*(?:#|//|/\*|\*|--|;|%|<!--|dnl\b|rem\b)"
+
+
+def full_templates() -> list[tuple[str, str]]:
+    """(license, text): notices, short forms, standard headers and the full texts of license_texts."""
+    out = [*TEMPLATES.items(), *HEADERS.items()]
+    out += [(k, form.format(k, name)) for k, names in NAMES.items() for name in names for form in SHORT]
+    return out + [(f.stem, re.sub(COPYRIGHT, " ", f.read_text("utf-8"))) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
+
+def header_of(text: Column) -> Column:
+    """The leading comment of a text, or its first paragraph where there is none."""
+    text = F.ltrim(F.regexp_replace(text, r"\A#![^\n]*\n", ""))
+    text = F.regexp_replace(text, r"\A\s+", "")
+    lines = F.split(text, "\n")
+    other = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False)
+    marked = F.array_join(F.when(other > 0, F.slice(lines, F.lit(1), (other - 1).cast("int"))).otherwise(lines), "\n")
+    return (
+        F.when(text.startswith("/*"), F.substring_index(text, "*/", 1))
+        .when(text.startswith("<!--"), F.substring_index(text, "-->", 1))
+        .when(text.startswith('\"\"\"'), F.get(F.split(text, '\"\"\"'), 1))
+        .when(text.rlike(r"\A" + COMMENT[1:]), marked)
+        .otherwise(F.get(F.split(text, r"\n[ \t\r]*\n"), 0))
+    )
+
+
+def scan_texts(files: DataFrame, least: float = LEAST) -> DataFrame:
+    """Rows (path, line_no, license, cosine): for whole texts and header blocks (line_no 0) and single lines the nearest full template.
+
+    Texts are weighed without copyright statements, as word counts times idf over the templates, ln((1 + templates) / (1 +
+    templates with the word)) + 1; other words have the idf of a word in none. Only texts with a word of TELLING are, one
+    of which every template has. Words are counted by (text, word), so a long text is no single row of many words.
+    """
+    spark = files.sparkSession
+    named = full_templates()
+    counts = [Counter(template_words(t)) for _, t in named]
+    df = Counter(w for c in counts for w in c)
+    idf = {w: math.log((1 + len(named)) / (1 + n)) + 1 for w, n in df.items()}
+    other = math.log(1 + len(named)) + 1
+    weights = []
+    for (name, _), c, k in zip(named, counts, range(len(named)), strict=True):
+        length = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
+        weights += [(w, k, name, n * idf[w] / length) for w, n in c.items()]
+    weighed = spark.createDataFrame([(w, i) for w, i in idf.items()], "word string, idf double").coalesce(1)
+    weights = spark.createDataFrame(weights, "word string, template int, license string, weight double").coalesce(1)
+
+    telling = files.where(F.col("path").isNotNull() & F.col("text").rlike(TELLING))
+    at = lambda k, x: F.struct(k.cast("long").alias("line_no"), x.alias("unit"))
+    units = F.concat(F.array(at(F.lit(0), F.col("text")), at(F.lit(0), header_of(F.col("text")))), F.transform(F.split("text", "\n"), lambda x, k: at(k, x)))
+    units = telling.select("path", F.explode(F.array_distinct(units)).alias("u")).select("path", "u.line_no", "u.unit").where(F.col("unit").rlike(TELLING))
+    units = keep(units.withColumn("id", F.monotonically_increasing_id()), "license-texts")
+    words = units.select("id", F.explode(F.split(F.lower(F.regexp_replace("unit", COPYRIGHT, " ")), _SPLIT)).alias("word")).where("word <> ''")
+    words = words.groupBy("id", "word").agg(F.count("*").alias("n")).join(F.broadcast(weighed), "word", "left")
+    words = keep(words.select("id", "word", (F.col("n") * F.coalesce("idf", F.lit(other))).alias("w")), "license-words")
+    norms = words.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = words.join(F.broadcast(weights), "word").groupBy("id", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    scored = dots.join(norms, "id").select("id", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("cosine")).where(F.col("cosine") >= least)
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("b"))
+    return units.join(best, "id").select("path", "line_no", F.col("b.license").alias("license"), (-F.col("b.less")).alias("cosine"))
+
+
 def template_words(text: str) -> list[str]:
     return [w for w in re.split(_SPLIT, text.lower()) if w]
 
@@ -153,7 +259,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id").cast("long")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(n / 1000).cast("string"), F.floor(n / 100).cast("string"), n.cast("string"))
     files = read(spark, sf_dir, "documents").select(path.alias("path"), "text")
-    found = keep(scan_headers(files), "licenses")
+    found = keep(scan_headers(files).union(scan_texts(files)), "licenses")
     out = inherit(files.select("path"), found, F.col("line_no") == 0)
     return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", F.round("cosine", 4).alias("cosine"), "inherited_from")
 

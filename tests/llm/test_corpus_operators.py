@@ -3,7 +3,9 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -279,6 +281,21 @@ def test_headers_match_all_lines(spark):
     assert got == plain_headers(rows, licenses.LEAST) and {f"a/b/{i}" for i in range(13)} <= {p for p, _ in got}
 
 
+def test_wrapped_headers_and_licence_files(spark):
+    wrap = lambda text, mark, width=60: "\n".join(mark + x for x in textwrap.wrap(text, width))
+    full = {f.stem: f.read_text() for f in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    cases = [(k, f"Copyright (c) 2020 Foo Bar\n\n{t}") for k, t in full.items()]
+    cases += [(k, f"#!/bin/sh\n# Copyright 2021 Foo, Inc.\n#\n{wrap(t, '# ')}\n\necho {'one two three ' * 200}") for k, t in licenses.HEADERS.items()]
+    cases += [(k, f"/*\n{wrap(t, '')}\n*/\nint main() {{ return {'x + ' * 300} 0; }}") for k, t in licenses.HEADERS.items()]
+    cases += [("MIT", "code\n" + x + "\nmore code here") for x in ("Copyright 2020 Foo. Released under the MIT License.", "MIT License", "// SPDX-License-Identifier: MIT", "This project is licensed under the MIT License.")]
+    cases += [(None, "We talked of a driving license for a while."), (None, "# a plain comment\nx = 1")]
+    files = spark.createDataFrame([(str(i), t) for i, (_, t) in enumerate(cases)], "path string, text string").coalesce(2)
+    best = {}
+    for r in sorted(licenses.scan_texts(files).collect(), key=lambda r: r.cosine):
+        best[int(r.path)] = r.license
+    assert [(best.get(i), t[:40]) for i, (_, t) in enumerate(cases)] == [(k, t[:40]) for k, t in cases]
+
+
 def test_inheritance_from_the_nearest_directory(spark):
     found = spark.createDataFrame([("a/LICENSE", 0, "MIT", 0.9), ("a/COPYING", 0, "GPL-3.0", 1.0), ("a/b/LICENSE", 0, "Apache-2.0", 1.0), ("a/b/own", 3, "MIT", 1.0), ("LICENSE", 0, "BSD-2-Clause", 1.0)], "path string, line_no long, license string, cosine double")
     paths = spark.createDataFrame([("a/x",), ("a/b/c/d",), ("a/b/own",), ("q/r",), ("top",), ("a/x",)], "path string")
