@@ -22,7 +22,7 @@ SAMPLE_ROWS = 8000
 MAX_TERMS = 1000
 #: Log odds below which a match counts for nothing: in a long text many weak ones would add up.
 LEAST_WEIGHT = 2.0
-#: Lengths of stems; a stem matches words that begin with it. Whole words have END behind them.
+#: Lengths of stems; a stem matches words that begin with it. Whole words, of any length, have END behind them.
 STEMS = (4, 10)
 END = "$"
 #: Words on either side of a match that its context is read from.
@@ -277,8 +277,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     words = F.array_distinct("w")
     lengths = lambda w: F.filter(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda k: k <= F.length(w))
     cut = lambda w: F.concat(F.transform(lengths(w), lambda k: w.substr(F.lit(1), k)), F.array(F.concat(w, F.lit(END))))
-    long_enough = F.filter(words, lambda w: F.length(w) >= STEMS[0])
-    spread = once.repartition(24).select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(long_enough, cut)))).alias("term"))
+    spread = once.repartition(24).select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(words, cut)))).alias("term"))
     counted = keep(spread.groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where("n >= 3"), "terms")
     likely = counted.where("pos >= 3 and pos >= 0.8 * n").orderBy(F.desc("pos"), "term").limit(40 * MAX_TERMS)
     terms = choose_terms([(r.term, r.pos, r.n - r.pos) for r in likely.collect()], pos / n, counted.count())

@@ -434,6 +434,13 @@ def test_toxicity_held_out(spark, sf_dir):
     assert toxicity.learn(docs, flipped) == model  # held-out labels are not read
 
 
+def test_short_words_become_terms(spark):
+    rows = [(i, f"word{i} other{i} thing{i} {'zug' if i % 2 else 'ok' + str(i)}", i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int").coalesce(1)
+    assert "zug$" in toxicity.learn(docs, labels)["terms"]
+
+
 def test_toxicity_odd_rows(spark, odd):
     labels = spark.createDataFrame([(5, 1), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     rows = toxicity.score_documents(odd, toxicity.learn(odd, labels)).collect()
