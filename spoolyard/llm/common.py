@@ -65,7 +65,7 @@ def without_blanks(text: Column) -> Column:
 
 
 #: Edges that one task joins in memory (16 bytes each); more are joined by distributed rounds with the same result.
-EDGES_IN_A_TASK = 2_000_000
+EDGES_IN_A_TASK = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -111,7 +111,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     printed = keep(_frames(docs, id_col, text_col).mapInPandas(prints, "doc_id long, n long, h1 long, h2 long, bands array<long>"), "signatures")
     linked = printed.where("doc_id is not null and n > 0")
     classes = keep(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
-    nodes = linked.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "bands", F.posexplode("bands").alias("band", "bucket"))
+    nodes = linked.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", F.explode("bands").alias("bucket"))
     shared = nodes.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = keep(nodes.join(shared, "bucket"), "buckets")
     roots = _resolve(members, docs, shingle, similarity, id_col, text_col)
@@ -174,7 +174,7 @@ def _resolve(members: DataFrame, docs: DataFrame, shingle: int, similarity: int,
     own = (F.col("n") - F.col("s")) / F.col("n")
     return settle(
         members.withColumn("s", F.col("n")).withColumn("bits", F.lit(None).cast("array<long>")), ["n", "s", "bits"], close,
-        lambda pairs: pairs_with(pairs, sets, "hashes").mapInPandas(confirm, "a long, b long"), [own], 2 * PERMUTATIONS // BAND, supported,
+        lambda pairs: keep(pairs_with(pairs, sets, "hashes").mapInPandas(confirm, "a long, b long").distinct(), "links"), [own], supported,
     )
 
 
