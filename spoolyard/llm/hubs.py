@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .common import components, keep, release, small
 
 #: Rounds have 1, HUBS, HUBS^2, ... hubs a bucket.
-HUBS = 8
+HUBS = 32
 
 Side = Callable[[str], Column]
 

@@ -235,7 +235,8 @@ def inherit(paths: DataFrame, found: DataFrame, declares: Column) -> DataFrame:
     takes the licence of the nearest directory above it, its own first, that has a licence file: a file with a header for
     which declares holds (over path, line_no). Of several in a directory the highest cosine counts, then the first path.
     Directories are joined by path, once for each distinct directory and not for each file; a path has as many as it has
-    parts. Files with neither have nulls.
+    parts. Files with neither have nulls, and null paths have them, too; further columns of paths are not read. Empty tables
+    give no rows. Paths have no fixed size, so how the joins are made is left to the planner, which measures what it broadcasts.
     """
     rank = F.struct((-F.col("cosine")).alias("less"), F.col("line_no"), F.col("license"))
     own = keep(found.where("path is not null").groupBy("path").agg(F.min(rank).alias("r")).select("path", F.col("r.license").alias("license"), (-F.col("r.less")).alias("cosine")), "headers")
@@ -245,9 +246,9 @@ def inherit(paths: DataFrame, found: DataFrame, declares: Column) -> DataFrame:
     dirs = paths.select(directory(F.col("path")).alias("of")).where("of is not null").distinct()
     parts = F.split("of", "/")
     above = dirs.select("of", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("dir")))).alias("up")).select("of", "up.*").distinct()
-    nearest = above.join(small(files, 200), "dir").groupBy("of").agg(F.max(F.struct("depth", "dir", "dir_license", "dir_cosine")).alias("up"))
+    nearest = above.join(files, "dir").groupBy("of").agg(F.max(F.struct("depth", "dir", "dir_license", "dir_cosine")).alias("up"))
     nearest = keep(nearest.select("of", "up.dir", "up.dir_license", "up.dir_cosine"), "nearest")
-    joined = paths.withColumn("of", directory(F.col("path"))).join(small(own, 200), "path", "left").join(small(nearest, 300), "of", "left")
+    joined = paths.select("path", directory(F.col("path")).alias("of")).join(own, "path", "left").join(nearest, "of", "left")
     has = F.col("license").isNotNull()
     return joined.select(
         "path", F.coalesce("license", "dir_license").alias("license"), F.when(has, F.col("cosine")).otherwise(F.col("dir_cosine")).alias("cosine"), F.when(~has, F.col("dir")).alias("inherited_from")
@@ -255,13 +256,16 @@ def inherit(paths: DataFrame, found: DataFrame, declares: Column) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/thousands/hundreds/doc_id; one whose first line is a licence notice speaks for its directory."""
+    """Documents as files source/thousands/hundreds/doc_id; one whose first line is a licence notice speaks for its directory.
+
+    A document without an id is the file source/none.
+    """
     n = F.col("doc_id").cast("long")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(n / 1000).cast("string"), F.floor(n / 100).cast("string"), n.cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(n / 1000).cast("string"), F.floor(n / 100).cast("string"), F.coalesce(n.cast("string"), F.lit("none")))
     files = read(spark, sf_dir, "documents").select(path.alias("path"), "text")
     found = keep(scan_headers(files).union(scan_texts(files)), "licenses")
     out = inherit(files.select("path"), found, F.col("line_no") == 0)
-    return out.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "path", "license", F.round("cosine", 4).alias("cosine"), "inherited_from")
+    return out.select(F.substring_index("path", "/", -1).try_cast("long").alias("doc_id"), "path", "license", F.round("cosine", 4).alias("cosine"), "inherited_from")
 
 
 QUERIES = {"op2_license_scan": op2_license_scan}

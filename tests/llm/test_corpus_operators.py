@@ -512,3 +512,72 @@ def test_pipeline_stages(spark, sf_dir):
 def test_registry():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+# odd rows in every stage
+
+STAGE_ROWS = [
+    (1, "A same text of six words here", "en"), (5, "A same text  of six words here", "en"), (5, "B unique words that nobody else has at all", "en"), (None, "A same text of six words here", "en"),
+    (7, "twice the very same row of one id", "en"), (7, "twice the very same row of one id", "en"), (None, "one two three four five six seven eight nine ten eleven twelve", "de"),
+    (9, "one two three four five six seven eight nine ten eleven twelve thirteen", "de"), (3, None, None), (4, "", "en"), (-(2**63), " \n", "en"), (11, "z " * 5000 + "😀".encode("utf-16", "surrogatepass").decode("utf-16"), "fr"),
+]
+
+
+@pytest.fixture(scope="module")
+def stage_docs(spark):
+    rows = [(i, t, lang, "s", None, 0, "b", "r", k) for k, (i, t, lang) in enumerate(STAGE_ROWS)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n int, h string, row_number string, k int")
+
+
+def plain_stage(name, rows):
+    """Numbers of the rows that stay."""
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    if name == "exact_dedup":
+        groups = defaultdict(list)
+        for r in rows:
+            groups[bare(r.text)].append((-len(r.text or ""), r.doc_id is None, r.doc_id or 0, r.k))
+        return {min(g)[-1] for g in groups.values()}
+    near = plain_near([(r.k, r.text) for r in rows], 5, 80)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[near[r.k][1]].append((r.doc_id is None, r.doc_id or 0, r.k))
+    return {min(g)[-1] for g in groups.values()}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, sf_dir, stage_docs, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, stage_docs, sf_dir)
+    got = out.collect()
+    if name == "byte_bpe":
+        assert len(got) == len(STAGE_ROWS) and {r.doc_id: r.n_tokens for r in got}[3] == 0
+    else:
+        assert out.columns == stage_docs.columns
+        stays = [r.k for r in got]
+        if name in ("exact_dedup", "near_dedup"):
+            assert sorted(stays) == sorted(plain_stage(name, stage_docs.collect()))
+        else:
+            assert set(stays) == set(range(len(STAGE_ROWS)))
+    assert stage(spark, stage_docs.limit(0), sf_dir).count() == 0
+
+
+def test_exact_dedup_of_colliding_hashes_and_odd_ids(spark):
+    rows = [(None, "ab"), (1, "ab"), (1, "cd"), (1, "cd"), (None, "cd"), (-(2**63), "ef"), (2, "e f"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for fn in (exact_dedup.md5_128, lambda t: F.length(t)):
+        got = exact_dedup.exact_dedup(docs, hash_fn=fn).collect()
+        assert len(got) == len(rows)
+        seen = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got)
+        assert seen == sorted([("None", "1", 2, False), ("1", "1", 2, True), ("1", "1", 3, True), ("1", "1", 3, True), ("None", "1", 3, False), (str(-(2**63)), "2", 2, False), ("2", "2", 2, True), ("3", "3", 1, True)])
+
+
+def test_license_scan_of_odd_rows(spark, tmp_path):
+    rows = [(None, "Released under the MIT License.\nx", "a"), (1001, "nothing", "a"), (1002, "Released under the MIT License.\nbody", "a"), (None, None, None), (7, "", "b"), (7, "", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((str(r.doc_id), str(r.license), str(r.inherited_from)) for r in licenses.op2_license_scan(spark, str(tmp_path)).collect())
+    assert got == sorted([("None", "MIT", "None"), ("1001", "MIT", "a/1/10"), ("1002", "MIT", "None"), ("None", "None", "None"), ("7", "None", "None"), ("7", "None", "None")])
+    paths = spark.createDataFrame([("a/x", "mine", 1.0, "d"), (None, "none", 2.0, "e")], "path string, license string, cosine double, dir string")
+    found = spark.createDataFrame([("a/LICENSE", 0, "MIT", 0.9)], "path string, line_no long, license string, cosine double")
+    assert sorted((str(r.path), str(r.license)) for r in licenses.inherit(paths, found, F.lit(True)).collect()) == [("None", "None"), ("a/x", "MIT")]
+    nothing = paths.limit(0).select("path").withColumn("text", F.lit(""))
+    assert licenses.scan_headers(nothing).count() == licenses.scan_texts(nothing).count() == licenses.inherit(paths.limit(0), found, F.lit(True)).count() == 0
