@@ -22,6 +22,8 @@ class QueueConfig:
     dedupe: bool = True
     record_ttl: int = RECORD_TTL_S
     meta_ttl: int = META_TTL_S
+    #: Whether counters and pointers of a shard expire when nothing touches them for meta_ttl; they never do by default.
+    meta_expires: bool = False
     client_id: str = "client"
     farm_id: str | None = None
     scope: str = LOCAL

@@ -124,3 +124,109 @@ def test_registry_and_settings(store):
     with pytest.raises(QueueError):
         Queue(QueueConfig("a", shards=1), store)
     assert wrap(KeyError("x")).code == "INTERNAL_ERROR" and wrap(e.value) is e.value
+
+
+def test_a_delete_is_of_what_was_there(store):
+    q = Queue(QueueConfig("d", shards=1), store)
+    q.delete(Item("x", 1, None, "d"))  # nothing there yet
+    q.load("a")
+    assert q.fire() == Item("a", 1, None, "d")
+    q.delete(Item("a", 1, None, "d"))
+    q.reload("a")
+    assert q.fire() == Item("a", 2, None, "d") and totals(q) == (1, 2, 1, 2)
+
+
+def test_torn_and_lost_commits(store, monkeypatch):
+    q = Queue(QueueConfig("t", shards=1), store)
+    with open(f"{store.path}/_commits/draft-left", "w") as f:
+        f.write('{"vers')  # a writer that died
+    assert q.load("a") and LogStore(store.spark, store.path).version() == store.version()
+    base, tries, real = store.version(), [], store.try_commit
+
+    def raced(at, rows, **more):
+        tries.append(at)
+        if len(tries) <= 2:
+            assert real(at, None)  # somebody else is first
+        return real(at, rows, **more)
+
+    monkeypatch.setattr(store, "try_commit", raced)
+    assert q.load("b") and tries == [base, base + 1, base + 2] and totals(q) == (2, 2, 0, 0)
+    monkeypatch.setattr(store, "try_commit", lambda at, rows, **more: False)
+    with pytest.raises(QueueError) as e:
+        q.load("c")
+    assert e.value.code == "RETRIES_EXHAUSTED"
+    monkeypatch.setattr(store, "try_commit", lambda at, rows, **more: False)
+    with pytest.raises(QueueError) as e:
+        Queue(QueueConfig("late", shards=1), store)
+    assert e.value.code == "ACTION_DENIED_PARALLEL_ATTEMPT"
+
+
+def test_folders_are_merged(store, monkeypatch):
+    from spoolyard.sources import store as module
+
+    monkeypatch.setattr(module, "FAN", 3)
+    q = Queue(QueueConfig("m", shards=2), store)
+    for x in "abcdefg":
+        q.load(x)
+    assert [level for _, level in store.folders()] == [1, 1, 0] and totals(q) == (7, 7, 0, 0)
+    assert sorted(i.data for i in q.fire_many(7)) == list("abcdefg")
+
+
+def test_farms_are_apart(store):
+    one, two = (Queue(QueueConfig("f", shards=1, farm_id=x), store) for x in ("east", None))
+    one.load("x")
+    two.load("x")
+    assert totals(one) == totals(two) == (1, 1, 0, 0)
+    one.fire()
+    assert totals(one) == (1, 1, 1, 1) and totals(two) == (1, 1, 0, 0) and two.fire().data == "x"
+
+
+def test_any_order_column_is_numbered_densely(store):
+    q = Queue(QueueConfig("n", shards=4), store)
+    q.load("first")
+    values = store.spark.createDataFrame([(-400 + 4 * i, f"v{i % 7}") for i in range(8)], "at long, v string")
+    assert q.load_many(values, "at", "v") == (7, 1)
+    rows = store.rows().orderBy("op_seq").collect()
+    assert [r.op_seq for r in rows] == list(range(1, 10)) and [r.data for r in rows][1:] == [f"v{i % 7}" for i in range(8)]
+    assert {k: m["load_pointer"] for k, m in q.get_metadata().items()} == {f"SHARD_{s}": 2 for s in range(4)}
+
+
+def test_errors_are_mapped(store, monkeypatch):
+    q = Queue(QueueConfig("e", shards=1), store)
+
+    def broken(*_):
+        raise OSError("no route to the store")
+
+    monkeypatch.setattr(store, "commits", broken)
+    for operation in (q.get_metadata, q.fire, lambda: q.load("a"), lambda: q.peek({0: {1}})):
+        with pytest.raises(QueueError) as e:
+            operation()
+        assert e.value.code == "CONNECTION_ERROR"
+    monkeypatch.undo()
+    monkeypatch.setattr(q, "clock", lambda: 1 // 0)
+    with pytest.raises(QueueError) as e:
+        q.load("a")
+    assert e.value.code == "INTERNAL_ERROR"
+    monkeypatch.undo()
+    other = Queue(QueueConfig("gone", shards=1), store)
+    monkeypatch.setattr(store, "settings", dict)
+    with pytest.raises(QueueError) as e:
+        other.fire()
+    assert e.value.code == "QUEUE_UNPREPARED"
+
+
+def test_metadata_expires_if_asked_for(store):
+    now = [0]
+    q = Queue(QueueConfig("x", shards=1, meta_ttl=10, record_ttl=-1, meta_expires=True), store, clock=lambda: now[0] * 1_000_000)
+    q.load("a")
+    now[0] = 9
+    q.load("b")
+    assert totals(q) == (2, 2, 0, 0)
+    now[0] = 19
+    assert totals(q) == (0, 0, 0, 0)
+    q.load("c")
+    assert totals(q) == (1, 1, 0, 0) and q.fire() == Item("c", 1, None, "x")  # the slot was written over
+    kept = Queue(QueueConfig("y", shards=1, meta_ttl=10), store, clock=lambda: now[0] * 1_000_000)
+    kept.load("a")
+    now[0] = 99
+    assert totals(kept) == (1, 1, 0, 0)
