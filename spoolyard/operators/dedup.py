@@ -24,6 +24,12 @@ def accepted(ops: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return loads.join(firsts, "op_seq", "left_semi").unionByName(ops.where("op <> 'load'"))
 
 
+def results(loads: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """All loads with skipped: whether their key was loaded before."""
+    first = accepted(loads, key).select("op_seq", F.lit(True).alias("_first"))
+    return loads.join(first, "op_seq", "left").withColumn("skipped", F.col("_first").isNull()).drop("_first")
+
+
 def accepted_within(loads: DataFrame, ttl_us: int, key: tuple[str, ...] = KEY) -> DataFrame:
     """Loads that no live entry of their key blocks: an entry lives ttl_us after the load that made it, and a blocked load does
     not renew it. Accepted when ts >= last + ttl.

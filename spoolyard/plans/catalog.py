@@ -129,9 +129,46 @@ def queue_load_dedup(spark, sf_dir):
     "from ops where op = 'load'"
 )
 def queue_load_results(spark, sf_dir):
-    loads = events(spark, sf_dir).where("op = 'load'")
-    firsts = loads.groupBy("queue_id", "data").agg(F.min("op_seq").alias("op_seq")).select("op_seq", F.lit(False).alias("first"))
-    return loads.join(firsts, "op_seq", "left").select("op_seq", "queue_id", "data", F.col("first").isNull().alias("skipped"))
+    return dedup.results(events(spark, sf_dir).where("op = 'load'")).select("op_seq", "queue_id", "data", "skipped")
+
+
+SCOPED = """select event_id as op_seq, 'F' || (event_id % 2)::varchar as farm_id, 'C' || (user_id % 3)::varchar as client_id,
+    'Q' || (user_id % 5)::varchar as queue_id, (event_id % 4)::int as shard,
+    case when event_type in ('signup', 'view') then 'load' when event_type = 'click' then 'reload' else 'fire' end as op,
+    event_type || '_' || props as data
+  from events"""
+SCOPE, FARM_LANE = ("farm_id", "client_id", "queue_id", "data"), ("farm_id", "queue_id", "shard")
+
+
+def scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of two farms and three clients: slots are a farm's, dedup entries a client's in it."""
+    table = oplog.table(spark, sf_dir, "events")
+    who = table.select(F.col("event_id").alias("op_seq"), F.concat(F.lit("F"), (F.col("event_id") % 2).cast("string")).alias("farm_id"), F.concat(F.lit("C"), (F.col("user_id") % 3).cast("string")).alias("client_id"))
+    return oplog.from_events(table, SHARDS).join(who, "op_seq")
+
+
+@query(f"with ops as ({SCOPED}) select min(op_seq) as op_seq, farm_id, client_id, queue_id, data from ops where op = 'load' group by all")
+def queue_load_dedup_scoped(spark, sf_dir):
+    return dedup.accepted(scoped(spark, sf_dir).where("op = 'load'"), SCOPE).select("op_seq", *SCOPE)
+
+
+@query(f"""with ops as ({SCOPED}),
+acc as (
+  select * from (select *, row_number() over (partition by farm_id, client_id, queue_id, op, data order by op_seq) as rn from ops)
+  where op <> 'load' or rn = 1),
+s as (select *, sum(case when op = 'fire' then -1 else 1 end) over (partition by farm_id, queue_id, shard order by op_seq) as bal from acc)
+select farm_id, queue_id, shard, sum((op = 'load')::int)::bigint as load_counter,
+  (sum((op = 'fire')::int) - greatest(0, -min(bal)) - sum((op = 'reload')::int))::bigint as fire_counter,
+  sum((op <> 'fire')::int)::bigint as load_pointer, (sum((op = 'fire')::int) - greatest(0, -min(bal)))::bigint as fire_pointer
+from s group by all""")
+def queue_counters_by_farm(spark, sf_dir):
+    return replay.counters(replay.numbered(scoped(spark, sf_dir), key=SCOPE, lane=FARM_LANE), *FARM_LANE)
+
+
+@query(log_sql(False) + FIRED)
+def queue_fire_replay_chunked(spark, sf_dir):
+    """The unsharded queues again, each cut into many tasks."""
+    return replay.fired(replay.numbered_by_chunks(events(spark, sf_dir), 500))
 
 
 @query("""with recursive l as (
@@ -153,7 +190,8 @@ def queue_load_dedup_ttl(spark, sf_dir):
 @query("select text as data, min(doc_id) as op_seq, count(*) as loads from documents group by text")
 def documents_dedup(spark, sf_dir):
     docs = oplog.from_table(oplog.table(spark, sf_dir, "documents"), "doc_id", F.lit("docs"), F.col("text"))
-    return docs.groupBy("data").agg(F.min("op_seq").alias("op_seq"), F.count("*").alias("loads"))
+    loads = dedup.results(docs, ("queue_id", "data"))
+    return loads.groupBy("data").agg(F.min(F.when(~F.col("skipped"), F.col("op_seq"))).alias("op_seq"), F.count("*").alias("loads"))
 
 
 @query(log_sql(True) + "select * from meta")
@@ -233,7 +271,7 @@ def queue_delete_live_slots(spark, sf_dir):
 def queue_live_as_of(spark, sf_dir):
     table = oplog.table(spark, sf_dir, "events")
     at = table.agg(F.max("ts")).first()[0]
-    ledger = replay.slots(log(spark, sf_dir, SHARDS)).join(table.select(F.col("event_id").alias("load_seq"), "ts"), "load_seq")
+    ledger = replay.slots(log(spark, sf_dir, SHARDS), "ts")
     return views.live(ledger, F.col("ts"), 2_592_000, F.lit(at).cast("timestamp_ntz")).select("queue_id", "shard", "pointer", "data")
 
 
@@ -326,12 +364,74 @@ def queue_fire_fold(spark, sf_dir):
     return out.where("op = 'fire'").select("op_seq", "queue_id", F.col("pointer").alias("fire_pointer"), "data", "load_seq", "result")
 
 
-@query()
+def fold_sql(holes: bool = False, ttl_us: int | None = None) -> str:
+    """Every operation's result by recursion over the fires of a lane: a fire takes the least live slot above the pointer, or uses
+    up all that are there."""
+    op = "case when event_type in ('signup', 'view') then 'load' when event_type = 'click' then 'reload' else 'fire' end"
+    if holes:
+        op = f"case when event_id % 7 = 0 then 'delete' else {op} end"
+    first = "select op_seq from (select op_seq, row_number() over (partition by queue_id, data order by op_seq) as n from ops where op = 'load') where n = 1"
+    if ttl_us is not None:
+        first = "select op_seq from anchors where ok"
+    return f"""with recursive ops as (
+  select event_id as op_seq, epoch_us(ts) as us, 'Q' || (user_id % 5)::varchar as queue_id, (event_id % {SHARDS})::int as shard, {op} as op,
+    event_type || '_' || props as data, {"case when event_id % 7 = 0 then event_id // 70 + 1 end" if holes else "null"}::bigint as pointer
+  from events),
+l as (select op_seq, queue_id, data, us, row_number() over (partition by queue_id, data order by op_seq) as k from ops where op = 'load'),
+anchors as (
+  select queue_id, data, k, op_seq, us as anchor, true as ok from l where k = 1
+  union all
+  select l.queue_id, l.data, l.k, l.op_seq, case when l.us >= r.anchor + {ttl_us or 0} then l.us else r.anchor end, l.us >= r.anchor + {ttl_us or 0}
+  from anchors r join l on l.queue_id = r.queue_id and l.data = r.data and l.k = r.k + 1),
+writes as (
+  select *, row_number() over (partition by queue_id, shard order by op_seq) as p from ops
+  where op = 'reload' or (op = 'load' and op_seq in ({first}))),
+slots as (
+  select w.queue_id, w.shard, w.p, w.op_seq as wrote, w.data, w.us + {ttl_us if ttl_us is not None else 1 << 60} as until, min(d.op_seq) as gone
+  from writes w left join ops d on d.op = 'delete' and d.queue_id = w.queue_id and d.shard = w.shard and d.pointer = w.p and d.op_seq > w.op_seq
+  group by all),
+fires as (select *, row_number() over (partition by queue_id, shard order by op_seq) as k from ops where op = 'fire'),
+run as (
+  select distinct queue_id, shard, 0::bigint as k, null::bigint as op_seq, null::bigint as hit, 0::bigint as fp from fires
+  union all
+  select r.queue_id, r.shard, f.k, f.op_seq, min(s.p) filter ((s.gone is null or s.gone > f.op_seq) and f.us < s.until),
+    coalesce(min(s.p) filter ((s.gone is null or s.gone > f.op_seq) and f.us < s.until), max(s.p), r.fp)
+  from run r join fires f on f.queue_id = r.queue_id and f.shard = r.shard and f.k = r.k + 1
+  left join slots s on s.queue_id = r.queue_id and s.shard = r.shard and s.p > r.fp and s.wrote < f.op_seq
+  group by r.queue_id, r.shard, f.k, f.op_seq, f.us, r.fp)
+select o.op_seq, o.queue_id, o.op, o.shard, case when o.op = 'delete' then o.pointer when o.op = 'fire' then u.hit else w.p end as pointer,
+  case when o.op = 'fire' then s.data when o.op <> 'delete' then o.data end as data,
+  case when o.op = 'fire' then s.wrote else w.op_seq end as load_seq,
+  case when o.op = 'fire' and u.hit is null then 'NOTHING_TO_FIRE' when o.op = 'load' and w.p is null then 'skipped' else 'ok' end as result
+from ops o left join writes w on w.op_seq = o.op_seq left join run u on u.op_seq = o.op_seq
+left join slots s on o.op = 'fire' and s.queue_id = o.queue_id and s.shard = o.shard and s.p = u.hit"""
+
+
+@query(f"""with recursive {ops_sql(True).strip()},
+acc as (
+  select * from (select *, row_number() over (partition by queue_id, op, data order by op_seq) as rn from ops) where op <> 'load' or rn = 1),
+n as (
+  select *, {", ".join(f"sum((op <> 'fire' and shard = {i})::int) over w as w{i}" for i in range(SHARDS))},
+    row_number() over (partition by queue_id, shard, op = 'fire' order by op_seq) as p, row_number() over (partition by queue_id, op = 'fire' order by op_seq) as k
+  from acc window w as (partition by queue_id order by op_seq rows between unbounded preceding and current row)),
+f as (select op_seq, queue_id, k, [{", ".join(f"w{i}" for i in range(SHARDS))}] as lp from n where op = 'fire'),
+run as (
+  select distinct queue_id, 0::bigint as k, null::bigint as op_seq, [{", ".join(["0"] * SHARDS)}]::bigint[] as fp, null::bigint as best from f
+  union all
+  select r.queue_id, f.k, f.op_seq,
+    list_transform(range(1, {SHARDS + 1}), lambda i: r.fp[i] + (coalesce(list_min(list_transform(range(1, {SHARDS + 1}), lambda j: case when f.lp[j] > r.fp[j] then r.fp[j] * 16 + j end)) % 16 = i, false))::int)::bigint[],
+    list_min(list_transform(range(1, {SHARDS + 1}), lambda j: case when f.lp[j] > r.fp[j] then r.fp[j] * 16 + j end))::bigint
+  from run r join f on f.queue_id = r.queue_id and f.k = r.k + 1)
+select o.op_seq, o.queue_id, o.op, coalesce(u.best % 16 - 1, o.shard)::int as shard, case when o.op = 'fire' then u.best // 16 + 1 else a.p end as pointer,
+  case when o.op = 'fire' then s.data else o.data end as data, case when o.op = 'fire' then s.op_seq else a.op_seq end as load_seq,
+  case when o.op = 'fire' and u.best is null then 'NOTHING_TO_FIRE' when o.op = 'load' and a.p is null then 'skipped' else 'ok' end as result
+from ops o left join (select * from n where op <> 'fire') a on a.op_seq = o.op_seq left join run u on u.op_seq = o.op_seq
+left join n s on s.op <> 'fire' and s.queue_id = o.queue_id and s.shard = u.best % 16 - 1 and s.p = u.best // 16 + 1""")
 def queue_fire_any_active(spark, sf_dir):
     return fold.run(events(spark, sf_dir, SHARDS), shards=SHARDS, any_active=True)
 
 
-@query()
+@query(fold_sql(holes=True))
 def queue_fire_with_holes(spark, sf_dir):
     """Every 7th operation deletes a slot of its shard before it can fire."""
     ops = events(spark, sf_dir, SHARDS).withColumn("pointer", F.lit(None).cast("long"))
@@ -340,6 +440,6 @@ def queue_fire_with_holes(spark, sf_dir):
     return fold.run(ops, shards=SHARDS)
 
 
-@query()
+@query(fold_sql(ttl_us=DAY_US))
 def queue_fold_with_ttl(spark, sf_dir):
     return fold.run(events(spark, sf_dir, SHARDS), shards=SHARDS, ttl_us=DAY_US)

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from spoolyard.operators import dedup, fold, replay
-from spoolyard.streaming.processor import replay_stream
+from spoolyard.streaming.processor import metadata_stream, replay_stream
 
 SCHEMA = "op_seq long, ts timestamp_ntz, queue_id string, op string, shard int, pointer long, data string"
 START = datetime.datetime(2024, 1, 1)
@@ -89,3 +89,24 @@ def test_stream_restarts_and_is_the_model(spark, tmp_path):
         run = replay_stream(stream, any_active=True).writeStream.format("parquet").option("path", sink).option("checkpointLocation", state)
         run.trigger(availableNow=True).start().awaitTermination()
     assert collected(spark.read.parquet(sink)) == expected(rows, any_active=True)
+
+
+def test_stream_expires_and_tells_its_metadata(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    steps = [("load", 0, d, 1) for d in "abca"] + [("fire", 0, "", 1)] * 2 + [("reload", 1, "z", 1), ("load", 0, "a", 1), ("load", 1, "c", 1), ("fire", 0, "", 1), ("fire", 0, "", 1), ("load", 0, "a", 1)]
+    rows, ops = log_of(spark, steps)
+    state = {}
+    for dedupe in (True, False):
+        source, sink, at = (str(tmp_path / f"{x}{dedupe}") for x in ("in", "out", "state"))
+        for part in (rows[:7], rows[7:]):
+            spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        for name, f in (("replay", replay_stream), ("meta", metadata_stream)):
+            run = f(stream, ttl_us=4_000_000, dedupe=dedupe).writeStream.format("parquet").option("path", sink + name).option("checkpointLocation", at + name)
+            run.trigger(availableNow=True).start().awaitTermination()
+        assert collected(spark.read.parquet(sink + "replay")) == expected(rows, dedupe=dedupe, ttl_us=4_000_000)
+        model = fold.QueueModel(dedupe=dedupe, ttl_us=4_000_000)
+        for seq, ts, _, op, shard, pointer, data in rows:
+            model.apply(op, shard, data, pointer, seq, int((ts - datetime.datetime(1970, 1, 1)).total_seconds() * 1e6))
+        state = {r.shard: tuple(r)[2:] for r in sorted(spark.read.parquet(sink + "meta").collect(), key=lambda r: r.load_pointer + r.fire_pointer)}
+        assert state == {s: tuple(x.get(s, 0) for x in (model.lc, model.fc, model.lp, model.fp)) for s in (0, 1)}
