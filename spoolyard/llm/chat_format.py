@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Tokens of new turns in a window, and tokens of earlier turns that a later window repeats.
+#: Tokens of a window, and those of them that are kept for earlier turns, which a later window repeats.
 BUDGET = 1024
 HISTORY = 192
 #: Tokens that the marks of a turn count for.
@@ -40,11 +40,12 @@ def tokens_of(text: Column) -> Column:
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count_tokens: Callable[[Column], Column] = tokens_of) -> DataFrame:
     """Rows (conv_id, window_no, formatted, loss array of (start, chars)) from rows (conv_id, turn, role, text).
 
-    Prefix sums of turn tokens lay the turns of a conversation end to end; a turn that lies within one stretch of budget
-    tokens goes to that stretch's window, one that crosses into the next stretch has a window of its own. So windows are
-    spans of whole turns in order, each turn is new in exactly one, and the new turns of a window hold at most budget
-    tokens, unless a single turn has more: turns are never cut. A window after the first repeats the system turn, if the
-    conversation begins with one, and the turns that lie within the last history tokens before it. loss marks the
+    Prefix sums of turn tokens lay the turns of a conversation end to end, in stretches of what budget leaves beside history and
+    the system turn. A turn that lies within one stretch goes to that stretch's window, one that crosses into the next stretch
+    has a window of its own. So windows are spans of whole turns in order, and each turn is new in exactly one. A window after
+    the first repeats the system turn, if the conversation begins with one, and the turns that lie within the last tokens
+    before it, history of them or what is left of budget. All turns of a window hold at most budget tokens, unless the system
+    turn and a single new one have more: turns are never cut, and such a window repeats nothing else. loss marks the
     code points (0-based start in formatted, length) of the new assistant texts; repeated ones are masked.
 
     Turns are ordered by turn, role, text, nulls first; repeated rows are turns of their own. Null role and text are
@@ -59,27 +60,32 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
         "*",
         F.row_number().over(in_order).cast("long").alias("ord"),
         (F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("at"),
-        F.first(F.struct("role", "text")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("opening"),
+        F.first(F.struct("role", "text", "size")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("opening"),
     )
+    rows = rows.withColumn("system", F.when(F.col("opening.role") == "system", F.col("opening.size")).otherwise(0))
+    stretch = F.greatest(F.lit(1), F.lit(budget - history) - F.col("system"))
     # Where the turn begins and ends, in stretches; they differ for a turn that crosses, which then has a key of its own.
     # Every turn has MARKS tokens at least, so "at" grows strictly.
-    first, last = F.floor(F.col("at") / budget), F.floor((F.col("at") + F.col("size") - 1) / budget)
+    first, last = F.floor(F.col("at") / stretch), F.floor((F.col("at") + F.col("size") - 1) / stretch)
     rows = rows.withColumn("span", F.struct(first.alias("first"), last.alias("last")))
     rows = rows.withColumn("opens", F.coalesce(F.lag("span").over(in_order) != F.col("span"), F.lit(True)))
     earlier = by.orderBy("at").rangeBetween(-history, -1)
-    piece = F.struct("ord", F.col("role"), F.col("text"))
+    piece = F.struct("ord", "at", F.col("role"), F.col("text"))
     rows = rows.withColumn("past", F.when(F.col("opens"), F.collect_list(piece).over(earlier)))
     rows = rows.withColumn("window_no", F.sum(F.col("opens").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
 
     windows = rows.groupBy("conv_id", "window_no").agg(
         F.array_sort(F.collect_list(piece)).alias("new"),
         F.min("ord").alias("starts"),
+        F.min("at").alias("from"),
+        (F.lit(budget) - F.max("system") - F.sum("size")).alias("room"),
         F.max("past").alias("past"),
         F.max("opening").alias("opening"),
     )
-    system = F.struct(F.lit(1).cast("long").alias("ord"), F.col("opening.role").alias("role"), F.col("opening.text").alias("text"))
-    past = F.array_sort(F.filter("past", lambda p: p["ord"] < F.col("starts")))
-    retained = F.when((F.col("starts") > 1) & (F.col("opening.role") == "system") & ~F.exists("past", lambda p: p["ord"] == 1), F.array(system)).otherwise(F.array().cast("array<struct<ord:bigint,role:string,text:string>>"))
+    system = F.struct(F.lit(1).cast("long").alias("ord"), F.lit(0).cast("long").alias("at"), F.col("opening.role").alias("role"), F.col("opening.text").alias("text"))
+    windows = windows.withColumn("past", F.filter("past", lambda p: (p["ord"] < F.col("starts")) & (p["at"] >= F.col("from") - F.col("room"))))
+    past = F.array_sort("past")
+    retained = F.when((F.col("starts") > 1) & (F.col("opening.role") == "system") & ~F.exists("past", lambda p: p["ord"] == 1), F.array(system)).otherwise(F.array().cast("array<struct<ord:bigint,at:bigint,role:string,text:string>>"))
     windows = windows.withColumn("repeated", F.concat(retained, past))
 
     def shown(mark: str) -> Callable[[Column], Column]:
@@ -146,22 +152,30 @@ s as (
   from t window o as (partition by conv_id order by turn nulls first, role nulls first, text nulls first)),
 a as (
   select *, (sum(size) over (partition by conv_id order by ord) - size)::bigint as pos,
-    first_value(shown) over (partition by conv_id order by ord) as shown1
+    first_value(shown) over (partition by conv_id order by ord) as shown1,
+    case when role1 = 'system' then first_value(size) over (partition by conv_id order by ord) else 0 end as sys
   from s),
 b as (
-  select *, pos // {BUDGET} as f, (pos + size - 1) // {BUDGET} as l,
-    coalesce(sum(shown) over h, 0)::bigint as past, coalesce(min(ord) over h, 0) as past_from
-  from a window h as (partition by conv_id order by pos range between {HISTORY} preceding and 1 preceding)),
+  select *, pos // greatest(1, {BUDGET - HISTORY} - sys) as f, (pos + size - 1) // greatest(1, {BUDGET - HISTORY} - sys) as l from a),
 c as (
   select *, coalesce(lag(f) over w <> f or lag(l) over w <> l, true) as opens
-  from b window w as (partition by conv_id order by ord))
-select conv_id, count(*)::bigint as n_turns,
+  from b window w as (partition by conv_id order by ord)),
+n as (select *, sum(opens::int) over (partition by conv_id order by ord) as win from c),
+w as (
+  select conv_id, win, min(ord) as starts, min(pos) as start, any_value(role1) as role1, any_value(shown1) as shown1,
+    least({HISTORY}, {BUDGET} - any_value(sys) - sum(size)) as room, sum(shown) as shown
+  from n group by conv_id, win),
+p as (
+  select w.conv_id, w.win, any_value(w.shown) + coalesce(sum(n.shown), 0)
+    + case when any_value(w.starts) > 1 and any_value(w.role1) = 'system' and coalesce(min(n.ord), 0) <> 1 then any_value(w.shown1) else 0 end as chars
+  from w left join n on n.conv_id is not distinct from w.conv_id and n.pos < w.start and n.pos >= w.start - w.room
+  group by w.conv_id, w.win)
+select n.conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by ord)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by ord) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(shown + case when opens then past
-    + case when ord > 1 and role1 = 'system' and past_from <> 1 then shown1 else 0 end else 0 end)::bigint as formatted_chars
-from c group by conv_id
+  (select sum(chars) from p where p.conv_id is not distinct from n.conv_id)::bigint as formatted_chars
+from n group by n.conv_id
 """
 
 QUERIES = {"op9_chat_format": op9_chat_format}

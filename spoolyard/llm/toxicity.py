@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, read, ship
+from .common import keep, read, release, ship
 
 #: Labelled rows that the lexicon and the weights are learned from, at most (those of the least hashes of their id).
 SAMPLE_ROWS = 8000
-#: Terms of the lexicon at most, by evidence.
-MAX_TERMS = 1000
+#: Labelled rows that a task takes.
+TASK_ROWS = 400
 #: Log odds below which a match counts for nothing: in a long text many weak ones would add up.
 LEAST_WEIGHT = 2.0
 #: Lengths of stems; a stem matches words that begin with it. Whole words, of any length, have END behind them.
@@ -29,6 +29,8 @@ END = "$"
 WINDOW = 6
 #: Words that report speech rather than use it (fixed values).
 REPORTING = frozenset("said says saying called calls quote quoted quotes term word words phrase sagte sagt nannte wort dit mot dijo palabra".split())
+#: Coefficients before anything is learned: none, of plain evidence, of quoted evidence.
+PRIOR = (-3.0, 2.0, 0.5)
 #: States and words that a worker remembers, at most; beyond that it starts afresh, with the same results.
 REMEMBERED = 100_000
 
@@ -191,13 +193,12 @@ def matcher(terms: list[str]) -> Matcher:
 
 
 def evidence(found: list[tuple[int, bool, bool]], weights: dict[tuple[int, bool], float]) -> tuple[float, float]:
-    """What the matches in plain and in quoting contexts weigh, each term counted three times at most."""
-    seen: dict = defaultdict(int)
+    """What the matches in plain and in quoting contexts weigh; each further match of a term counts half the one before."""
+    share: dict = defaultdict(lambda: 1.0)
     total = [0.0, 0.0]
     for term, misspelled, quoted in found:
-        seen[term, quoted] += 1
-        if seen[term, quoted] <= 3:
-            total[quoted] += weights.get((term, misspelled), 0.0)
+        total[quoted] += weights.get((term, misspelled), 0.0) * share[term, quoted]
+        share[term, quoted] /= 2
     return total[0] / 8, total[1] / 8
 
 
@@ -206,7 +207,7 @@ def score_of(x: tuple[float, float], coefficients: tuple[float, float, float]) -
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], base: float, tried: int, most: int = MAX_TERMS) -> list[str]:
+def choose_terms(counts: list[tuple[str, int, int]], base: float, tried: int) -> list[str]:
     """Terms whose counts (term, toxic documents, other documents) chance explains for a few of so many tried at most.
 
     A chance term costs little, as one match alone is not enough evidence in the fit; a missed one costs a document.
@@ -228,13 +229,13 @@ def choose_terms(counts: list[tuple[str, int, int]], base: float, tried: int, mo
     closed = {t: g for t, g in good.items() if fuller.get(t, 0) < 0.95 * g[0]}
     covered = lambda t: any(closed[t[:k]][2] >= closed[t][2] - 0.01 for k in range(STEMS[0], len(t)) if t[:k] in closed)
     kept = [t for t in closed if not covered(t)]
-    return sorted(sorted(kept, key=lambda t: (-closed[t][1], t))[:most])
+    return sorted(kept)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float, float]:
     """Logistic regression by Newton steps; ridge pulls towards a prior in which a quoted match counts a quarter."""
     a = np.column_stack((np.ones(len(x)), x))
-    prior = np.array([-3.0, 2.0, 0.5])
+    prior = np.array(PRIOR)
     c, pull = prior.copy(), ridge * np.array([0.1, 1, 1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ c, -40, 40)))
@@ -254,9 +255,12 @@ def held_out(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
     """The model {terms, weights, coefficients} from labelled documents that are not held out.
 
-    Terms are counted by Spark over the sample; what comes to the driver is bounded by SAMPLE_ROWS and MAX_TERMS. Null
-    ids and labels are left out, an id with several labels is toxic if one says so. Without a toxic or without a clean
-    row the lexicon is empty and every text has the score of the prior.
+    Terms are counted by Spark over the sample. What comes to the driver are the terms that chance does not explain, which the
+    sample bounds, and two numbers for each of its rows. Null ids and labels are left out, an id with several labels is toxic if
+    one says so. Without a toxic or without a clean row the lexicon is empty and every text has the score of the prior.
+
+    Labelled rows seldom quote, so the weight of a quoted match is learned from examples made of the lexicon, too: for each term
+    a clean text that quotes it once.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -267,35 +271,47 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sample = keep(texts.join(F.broadcast(marked), "doc_id"), "labelled")
     n, pos = sample.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not pos or pos == n:
-        return {"terms": [], "weights": {}, "coefficients": (-3.0, 2.0, 0.5)}
+        return {"terms": [], "weights": {}, "coefficients": PRIOR}
+    tasks, base = -(-n // TASK_ROWS), pos / n
 
-    # Copies of one text are no separate evidence for its words: texts with the same least shingle hash count once.
+    # Copies of one text are no separate evidence for its words: of texts with the same least shingle hash the first by id counts.
     in_order = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
     three = lambda w, i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    once = sample.select("doc_id", "toxic", in_order.alias("w"))
-    once = once.withColumn("least", F.array_min(F.transform("w", three))).dropDuplicates(["toxic", "least"])
+    once = sample.select("doc_id", "toxic", in_order.alias("w")).withColumn("least", F.array_min(F.transform("w", three)))
+    once = once.groupBy("toxic", "least").agg(F.min(F.struct("doc_id", "w")).alias("one")).select("toxic", F.col("one.w").alias("w"))
     words = F.array_distinct("w")
     lengths = lambda w: F.filter(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda k: k <= F.length(w))
     cut = lambda w: F.concat(F.transform(lengths(w), lambda k: w.substr(F.lit(1), k)), F.array(F.concat(w, F.lit(END))))
-    spread = once.repartition(24).select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(words, cut)))).alias("term"))
+    spread = once.repartition(tasks).select("toxic", F.explode(F.array_distinct(F.flatten(F.transform(words, cut)))).alias("term"))
     counted = keep(spread.groupBy("term").agg(F.sum("toxic").alias("pos"), F.count("*").alias("n")).where("n >= 3"), "terms")
-    likely = counted.where("pos >= 3 and pos >= 0.8 * n").orderBy(F.desc("pos"), "term").limit(40 * MAX_TERMS)
-    terms = choose_terms([(r.term, r.pos, r.n - r.pos) for r in likely.collect()], pos / n, counted.count())
+    tried = counted.count()
+    share = F.col("pos") / F.col("n")
+    gain = F.col("pos") * F.log(share / base) + F.when(share < 1, (F.col("n") - F.col("pos")) * F.log((1 - share) / (1 - base))).otherwise(0)
+    likely = counted.where("pos >= 3").where(share >= 0.8).where(gain >= math.log(max(tried, 1)) - 3 - 1e-6)
+    terms = choose_terms([(r.term, r.pos, r.n - r.pos) for r in likely.collect()], base, tried)
 
     def find(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = matcher(terms)
         for frame in frames:
-            yield pd.DataFrame({"toxic": frame["toxic"], "found": [pickle.dumps(m.matches(t)) for t in frame["text"]]})
+            found = [m.matches(t) for t in frame["text"]]
+            yield pd.DataFrame({"toxic": frame["toxic"], "found": list(map(pickle.dumps, found)), "keys": [sorted({2 * t + misspelled for t, misspelled, _ in f}) for f in found]})
 
-    rows = [(r.toxic, pickle.loads(r.found)) for r in sample.repartition(24).mapInPandas(find, "toxic int, found binary").collect()]
-    with_term: dict = defaultdict(lambda: [0, 0])
-    for toxic, found in rows:
-        for key in {(t, misspelled) for t, misspelled, _ in found}:
-            with_term[key][toxic] += 1
+    matched = keep(sample.repartition(tasks).mapInPandas(find, "toxic int, found binary, keys array<int>"), "matched")
+    by_key = matched.select("toxic", F.explode("keys").alias("key")).groupBy("key").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()
     weight = lambda bad, good: max(0.0, math.log((bad + 0.5) / (pos + 1)) - math.log((good + 0.5) / (n - pos + 1)))
-    weights = {(t, m): w for t in range(len(terms)) for m in (False, True) if (w := weight(with_term[t, m][1], with_term[t, m][0])) >= LEAST_WEIGHT}
-    order = sorted((evidence(found, weights), toxic) for toxic, found in rows)
-    return {"terms": terms, "weights": weights, "coefficients": fit(np.array([x for x, _ in order]), np.array([y for _, y in order]))}
+    weights = {(r.key // 2, bool(r.key % 2)): w for r in by_key if (w := weight(r.bad, r.n - r.bad)) >= LEAST_WEIGHT}
+
+    def weigh(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            both = [evidence(pickle.loads(f), weights) for f in frame["found"]]
+            yield pd.DataFrame({"toxic": frame["toxic"], "plain": [x for x, _ in both], "quoted": [y for _, y in both]})
+
+    rows = [((r.plain, r.quoted), r.toxic) for r in matched.mapInPandas(weigh, "toxic int, plain double, quoted double").collect()]
+    rows += [(evidence([(t, False, True)], weights), 0) for t in range(len(terms)) if (t, False) in weights]
+    rows.sort()
+    for table in (sample, counted, matched):
+        release(table)
+    return {"terms": terms, "weights": weights, "coefficients": fit(np.array([x for x, _ in rows]), np.array([y for _, y in rows]))}
 
 
 def toxic_score(model: dict, text: Column) -> Column:

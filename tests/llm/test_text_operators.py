@@ -227,3 +227,24 @@ def test_chat_odd_rows(spark):
     assert (out[None].loss_chars, out[None].loss_sha256) == (1, digest("x"))
     assert (out[2].turns_sha256, out[2].loss_sha256) == (digest("assistant\n~t[\nwe]ird\n\n"), digest("~t["))
     assert chat_format.format_windows(frame.limit(0)).count() == 0
+
+
+def test_whole_windows_keep_the_budget(spark):
+    pick = random.Random(12)
+    rows = []
+    for c in range(30):
+        start = [("system", "s" * pick.choice((10, 120, 300, 700)))] if c % 3 else []
+        for k, (role, text) in enumerate(start + [(pick.choice(("user", "assistant")), "t" * pick.choice((1, 20, 60, 150, 500))) for _ in range(25)]):
+            rows.append((c, k, role, text))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    over = total = 0
+    for w in chat_format.format_windows(frame, budget=100, history=30).collect():
+        parts = [p for p in w.formatted.split(chat_format.END) if p]
+        cost = [-(-len(p.split("]", 1)[1]) // 4) + chat_format.MARKS for p in parts]
+        kinds = [p.split("]")[0] for p in parts]
+        total += 1
+        if sum(cost) > 100:
+            over += 1
+            # A system turn and one new turn, neither of which can be cut.
+            assert kinds.count("[P system") + sum(k[1] == "T" for k in kinds) == len(parts) and sum(k[1] == "T" for k in kinds) == 1
+    assert total > 100 and over < total / 2
