@@ -183,6 +183,8 @@ def test_edit_similarity_in_the_bands():
     most = np.array([max(len(a), len(b)) * (100 - least) // 100 for a, b, least in pairs])
     got = lines.edits_within([lines.codes_of(a) for a, _, _ in pairs], [lines.codes_of(b) for _, b, _ in pairs], most)
     assert got.tolist() == [plain_edit(*p) for p in pairs]
+    may = lines.may_be_within([lines.codes_of(a) for a, _, _ in pairs], [lines.codes_of(b) for _, b, _ in pairs], most)
+    assert not (got & ~may).any() and (~may).any()
     assert all(lines._whole(lines.codes_of(a).tolist(), lines.codes_of(b).tolist(), int(m)) == g for (a, b, _), m, g in zip(pairs, most, got, strict=True) if a and b)
     assert all(lines.edit_similar(*p) == g for p, g in zip(pairs[:50], got, strict=False))
 
