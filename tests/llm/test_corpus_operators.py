@@ -267,6 +267,14 @@ def test_recall_by_words_and_edits(spark):
     assert found >= 0.97 * len(pairs) > 100
 
 
+def test_large_buckets_count_by_two(spark):
+    members = [(b, n) for n in range(10) for b in (1, 2)] + [(2, 10), (3, 0), (3, 11)] + [(1, n) for n in range(20, 30)]
+    by = defaultdict(set)
+    for r in lines.refined(spark.createDataFrame(members, "bucket long, node long")).collect():
+        by[r.bucket].add(r.node)
+    assert sorted(map(sorted, by.values())) == [[0, 11], list(range(10))]
+
+
 def test_a_line_is_compared_by_its_own_text(spark):
     base = " ".join(f"word{i}" for i in range(30))
     rows = [(1, "something else altogether here"), (1, base), (2, base + " more"), (3, "nothing like it"), (None, base + " most")]

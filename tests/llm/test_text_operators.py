@@ -120,7 +120,7 @@ def test_quality_odd_rows(spark, odd, none):
 
 # operator 6
 
-WEIGHTS = html_text.learn_weights(html_text.labelled_pages())
+WEIGHTS = html_text.learn_weights(html_text.labelled_pages(), html_text.labelled_pages(named=False))
 
 
 def test_weights_have_the_signs_of_the_method():
@@ -248,3 +248,33 @@ def test_whole_windows_keep_the_budget(spark):
             # A system turn and one new turn, neither of which can be cut.
             assert kinds.count("[P system") + sum(k[1] == "T" for k in kinds) == len(parts) and sum(k[1] == "T" for k in kinds) == 1
     assert total > 100 and over < total / 2
+
+
+def test_headline_in_an_article_header():
+    for holder in ("article", "main"):
+        page = f"<body><header>The site</header><{holder}><header><h1>The headline of it</h1></header><p>{'Some words of the story. ' * 9}</p></{holder}><footer>(c)</footer></body>"
+        assert html_text.extract(page, WEIGHTS) == " ".join(["The headline of it", *["Some words of the story."] * 9])
+
+
+def test_short_blocks_of_unknown_classes_go():
+    story = " ".join(["Es regnete fast den ganzen Tag und die Leute blieben zu Hause."] * 6)
+    page = f'<body><div class="inhalt"><h1>Regen im Norden</h1><p>{story}</p></div><div class="werbung"><p><a href="/k">Jetzt kaufen</a></p></div><div class="hinweis"><p>Cookies</p><button>Ja</button></div></body>'
+    got = html_text.extract(page, WEIGHTS)
+    assert story in got and "kaufen" not in got and "Ja" not in got.split()[-3:]
+
+
+@pytest.mark.parametrize("piece", ["<script ", "<!", "<a ", "<a \"", "<![CDATA[", "<div class='", "</", "<p><a href=x>", "<textarea>", "&amp;<"])
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    page = "<p>start of it</p>" + piece * (1_000_000 // len(piece))
+    began = time.process_time()
+    html_text.extract(page, WEIGHTS)
+    assert time.process_time() - began < 20
+
+
+def test_markup_is_read_like_a_browser_does():
+    read = lambda page: list(html_text.markup_of(page))
+    assert read("a<b title='x > y'>c</b><!-- d <p> -->e<script>var t='</p>';</script>f< g") == [("", "", "", "a"), ("tag", "", "b", " title='x > y'"), ("", "", "", "c"), ("tag", "/", "b", ""), ("", "", "", "e"), ("", "", "", "f< g")]
+    assert read("1 <2 <p>x<a href=") == [("", "", "", "1 <2 "), ("tag", "", "p", ""), ("", "", "", "x")]
+    assert read("it's <i>so</i>") == [("", "", "", "it's "), ("tag", "", "i", ""), ("", "", "", "so"), ("tag", "/", "i", "")]
