@@ -195,7 +195,8 @@ def learn_weights(pages: list[list[tuple[int, str]]], unnamed: list[list[tuple[i
                     for f in {f for element in context for f in element}:
                         found[f][label] += n
     odds = lambda c: math.log((c[1] + 0.5) / (words[1] + 1)) - math.log((c[0] + 0.5) / (words[0] + 1))
-    weights = {f: odds(c) for f, c in found.items()} | {"word": 1.0}
+    # A link by itself speaks for no content: pages have them everywhere.
+    weights = {f: min(odds(c), 0.0) if f == "a" else odds(c) for f, c in found.items()} | {"word": 1.0}
     every = [("".join(m for _, m in page), " ".join(extract(m, weights | {"word": 1e6, "tag": 0.0}) for label, m in page if label)) for page in [*pages, *(unnamed or [])]]
 
     def wrong(tag: float) -> int:
