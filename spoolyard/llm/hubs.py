@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import components, keep, release, small
 
-#: Rounds have 1, HUBS, HUBS^2, ... hubs a bucket.
+#: Rounds have 1, HUBS, HUBS^2, ... hubs a bucket; a bucket with no more members ends with the round.
 HUBS = 32
 
 Side = Callable[[str], Column]
@@ -24,7 +24,7 @@ def settle(
     first: list[Column],
     narrow: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Rows (node long, root long): components of the links among members (bucket, node, extras).
+    """Rows (node long, root long): components of the links among members (bucket, node, extras), whose buckets have two or more nodes.
 
     In every round some members of each bucket, its hubs, are paired with those of its members that are in other
     components and that close() allows; confirm() returns a table of those of the pairs (a, b) that are links, and each pair
@@ -41,29 +41,35 @@ def settle(
     roots, done, tried = None, [], []
     turn, given = 0, members
     while True:
-        now = members if roots is None else members.join(small(roots, 16), "node", "left")
-        now = now.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
-        split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-        # Buckets that are one component are over for good.
-        split = keep(split, "split")
-        now = keep(now.join(small(split, 12), "bucket").select("bucket", "node", *extras, "root"), "unsettled")
-        release(split)
-        if members is not given:
-            release(members)
-        if turn == 1 and narrow is not None:
-            wide, now = now, keep(narrow(now).select("bucket", "node", *extras, "root"), "narrowed")
-            release(wide)
+        hubs_each, largest = HUBS**turn, None
+        if turn == 0:
+            now = members.withColumn("root", F.col("node"))
+        else:
+            # Buckets that are one component are over for good.
+            now = members if roots is None else members.join(small(roots, 16), "node", "left")
+            now = now.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node"))
+            split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+            split = keep(split.select("bucket", "size"), "split")
+            largest = split.agg(F.max("size")).first()[0]
+            if largest is None:
+                break
+            now = keep(now.join(small(split, 20), "bucket").select("bucket", "node", *extras, "root", "size"), "unsettled")
+            release(split)
+            if members is not given:
+                release(members)
+            if turn == 1 and narrow is not None:
+                wide, now = now, keep(narrow(now).select("bucket", "node", *extras, "root", "size"), "narrowed")
+                release(wide)
         free = now
         if done:
             used = reduce(DataFrame.union, (h.select("bucket", F.col("hub_node").alias("node")) for h in done))
             free = now.join(used, ["bucket", "node"], "left_anti")
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS**turn))
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(hubs_each))
+        if turn:
+            slot = F.when(F.col("size") <= hubs_each, F.col("node")).otherwise(slot)
         rank = F.struct(*(c.alias(f"rank{i}") for i, c in enumerate(first)), "node", *extras, "root")
         hubs = free.groupBy("bucket", slot.alias("slot")).agg(F.min(rank).alias("hub"))
         hubs = keep(hubs.select("bucket", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("node", *extras, "root"))), "hubs")
-        if hubs.isEmpty():
-            release(now)
-            break
         allowed = F.col("root") != F.col("hub_root")
         if close is not None:
             allowed &= close(F.col, lambda c: F.col(f"hub_{c}"))
@@ -79,9 +85,14 @@ def settle(
             older, roots = roots, keep(components(known), "roots")
             release(older)
         release(new)
-        members = now.drop("root")
-        members._kept_path = now._kept_path
+        if turn:
+            members = now.drop("root", "size")
+            members._kept_path = now._kept_path
+            if largest <= hubs_each:  # all have been hubs
+                break
         turn += 1
+    if members is not given:
+        release(members)
     for table in (*done, *tried):
         release(table)
     return roots if roots is not None else given.select("node", F.col("node").alias("root")).limit(0)
