@@ -33,7 +33,7 @@ def settle(
     every pair that shares a bucket is settled: compared, ruled out by close(), or joined already over others. close takes
     two functions from a column's name to the member's and to the hub's column and must be exact. first orders members: the
     least is the next hub. narrow may replace extras, or drop members that can have no link, after the first round.
-    Nodes without a link may be missing from the result. extras have a fixed size, 300 bytes together at most.
+    Nodes without a link may be missing from the result. extras have a fixed size, 450 bytes together at most.
 
     Hubs are broadcast while their counted size allows it, which leaves members where they are; beyond that a bucket's
     members and hubs meet by a sort-merge join, whose large partitions adaptive execution splits.
@@ -73,7 +73,7 @@ def settle(
         allowed = F.col("root") != F.col("hub_root")
         if close is not None:
             allowed &= close(F.col, lambda c: F.col(f"hub_{c}"))
-        pairs = now.join(small(hubs, 300 if extras else 40), "bucket").where(allowed)
+        pairs = now.join(small(hubs, 500 if extras else 40), "bucket").where(allowed)
         pairs = pairs.select(F.least("node", "hub_node").alias("a"), F.greatest("node", "hub_node").alias("b")).distinct()
         pairs = keep(pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti") if tried else pairs, "pairs")
         new = confirm(pairs)

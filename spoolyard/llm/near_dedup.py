@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -18,6 +20,7 @@ PERMUTATIONS = 40
 #: Values in a band. 80 values make 20 bands of 4: a pair at similarity 0.85 shares no band with chance 4e-7, at 0.8 with
 #: 3e-5.
 BAND = 4
+BANDS = 2 * PERMUTATIONS // BAND
 #: 64-bit words of the bitmap that a set is hashed into, to bound what two sets share.
 WORDS = 32
 #: Shingles that are hashed at once.
@@ -65,7 +68,7 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 # A band takes its values from as many permutations.
-_ORDER = np.array([(j % 2) * PERMUTATIONS + (i * BAND + j) % PERMUTATIONS for i in range(2 * PERMUTATIONS // BAND) for j in range(BAND)])
+_ORDER = np.array([(j % 2) * PERMUTATIONS + (i * BAND + j) % PERMUTATIONS for i in range(BANDS) for j in range(BAND)])
 _ORDER = np.concatenate((_ORDER[: PERMUTATIONS], (_ORDER[: PERMUTATIONS] + PERMUTATIONS) % (2 * PERMUTATIONS)))
 
 
@@ -114,7 +117,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     nodes = linked.join(classes, ["h1", "h2"]).where("doc_id = node").select("node", "n", F.explode("bands").alias("bucket"))
     shared = nodes.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
     members = keep(nodes.join(shared, "bucket"), "buckets")
-    roots = _resolve(members, docs, shingle, similarity, id_col, text_col)
+    roots = _resolve(members, printed, docs, shingle, similarity, id_col, text_col)
 
     named = classes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     out = printed.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
@@ -122,13 +125,14 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: int = 80, id_col:
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.col("doc_id").eqNullSafe(root).alias("kept"))
 
 
-def _resolve(members: DataFrame, docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
+def _resolve(members: DataFrame, printed: DataFrame, docs: DataFrame, shingle: int, similarity: int, id_col: str, text_col: str) -> DataFrame:
     """Rows (node, root) of the components that the documents of members (node, n, bands, bucket) make.
 
     s bounds what a node can share with another: its size at first, then the number of its shingles that any other
     node still in question has too; bits is a bitmap of these. |A and B| is at most s of either less the bits that only
     its bitmap has. A pair with 100 * m < similarity * (|A| + |B| - m) for such a bound m cannot be linked and is not
-    compared, and a node with 100 * s < similarity * n is out.
+    compared, and a node with 100 * s < similarity * n is out. From then on bands has the buckets of a node, and band the place of
+    this one, and a pair is weighed only in the first bucket that its two share.
     """
 
     def full_sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,20 +164,26 @@ def _resolve(members: DataFrame, docs: DataFrame, shingle: int, similarity: int,
         held = keep(sets.join(small(now.select("node").distinct(), 12), "node", "left_semi"), "open-sets")
         alone = held.select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.collect_list("h").alias("alone"))
         counted = held.join(alone, "node", "left").mapInPandas(bitmaps, "node long, s long, bits array<long>")
-        # An id with several texts has no bitmap of its own.
-        counted = counted.groupBy("node").agg(F.max("s").alias("s"), F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
-        return now.drop("s", "bits").join(small(keep(counted, "counted"), 16 * WORDS), "node").where(F.col("s") * 100 >= F.col("n") * similarity)
+        own = printed.select(F.col("doc_id").alias("node"), "bands")
+        counted = counted.join(own.join(small(now.select("node").distinct(), 12), "node", "left_semi"), "node")
+        # An id with several texts has no bitmap and no bands of its own.
+        alone_ = lambda c: F.when(F.count("*") == 1, F.first(c)).alias(c)
+        counted = keep(counted.groupBy("node").agg(F.max("s").alias("s"), alone_("bits"), alone_("bands")), "counted")
+        joined = now.drop("s", "bits", "bands", "band").join(small(counted, 8 * WORDS + 8 * BANDS + 64), "node").where(F.col("s") * 100 >= F.col("n") * similarity)
+        return joined.withColumn("band", F.array_position("bands", F.col("bucket")).cast("int") - 1)
 
     def close(mine, hubs) -> Column:
         enough = lambda m: m * 100 >= (mine("n") + hubs("n") - m) * similarity
         only = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(k))))) for k in range(WORDS)), F.lit(0))
         tight = F.least(mine("s") - only(mine("bits"), hubs("bits")), hubs("s") - only(hubs("bits"), mine("bits")))
-        return enough(F.least(mine("s"), hubs("s"))) & F.coalesce(enough(tight), F.lit(True))
+        met = reduce(or_, ((mine("band") > k) & (F.get(mine("bands"), F.lit(k)) == F.get(hubs("bands"), F.lit(k))) for k in range(BANDS - 1)))
+        return F.when(~enough(F.least(mine("s"), hubs("s"))) | F.coalesce(met, F.lit(False)), False).otherwise(F.coalesce(enough(tight), F.lit(True)))
 
     # The node that has least of its own is the likeliest to be what the others were copied from.
     own = (F.col("n") - F.col("s")) / F.col("n")
+    given = members.withColumn("s", F.col("n")).withColumns({c: F.lit(None).cast("array<long>") for c in ("bits", "bands")}).withColumn("band", F.lit(None).cast("int"))
     return settle(
-        members.withColumn("s", F.col("n")).withColumn("bits", F.lit(None).cast("array<long>")), ["n", "s", "bits"], close,
+        given, ["n", "s", "bits", "bands", "band"], close,
         lambda pairs: keep(pairs_with(pairs, sets, "hashes").mapInPandas(confirm, "a long, b long").distinct(), "links"), [own], supported,
     )
 
