@@ -275,6 +275,32 @@ def test_large_buckets_count_by_two(spark):
     assert sorted(map(sorted, by.values())) == [list(range(10)), [0, 11]]
 
 
+def test_large_buckets_lose_no_link(spark):
+    """A pair whose only common bucket is large, and a group of near copies that goes by hubs."""
+    pick = random.Random(2)
+    letters = "abcdefghilmnorstu"
+
+    def keys(texts):
+        k, has = lines.keys_of(*lines.letters_of(texts))
+        return [set(x[h].tolist()) for x, h in zip(k, has, strict=True)]
+
+    a, b, key = next((a, b, min(both)) for a, b in edited_lines(9, 400) for p, q in (keys([a, b]),) if len(both := p & q) == 1)
+    company = []
+    while len(company) < 3 * lines.REFINE:
+        tries = []
+        for i in range(0, len(a) - 12, 3):
+            # Two words around a run of a in its place.
+            left, right = ("".join(pick.choices(letters, k=n)) for n in (i, len(a) - i - 18))
+            tries.append(left + a[i : i + 18] + right)
+        company += [t for t, k in zip(tries, keys(tries), strict=True) if key in k]
+    long_ = "".join(pick.choices(letters, k=200))
+    copies = [long_[:i] + "z" + long_[i + 1 :] for i in range(0, 200, 2)]
+    found = {r.doc_id: r.n_dropped for r in lines.line_dedup(spark.createDataFrame(list(enumerate([a, b, *company, *copies])), "doc_id long, text string")).collect()}
+    assert found[0] == 0 and found[1] == 1
+    first = 2 + len(company)
+    assert [found[i] for i in range(first, first + len(copies))] == [0] + [1] * (len(copies) - 1)
+
+
 def test_a_line_is_compared_by_its_own_text(spark):
     base = " ".join(f"word{i}" for i in range(30))
     rows = [(1, "something else altogether here"), (1, base), (2, base + " more"), (3, "nothing like it"), (None, base + " most")]
