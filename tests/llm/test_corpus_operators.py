@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -301,6 +302,25 @@ def test_large_buckets_lose_no_link(spark):
     assert [found[i] for i in range(first, first + len(copies))] == [0] + [1] * (len(copies) - 1)
 
 
+def test_near_copies_are_joined_by_few_comparisons(monkeypatch):
+    """A text comes once to the task that settles its pairs, and pairs that are joined over others are not compared."""
+    pick = random.Random(4)
+    texts = []
+    for _ in range(2):
+        long_ = "".join(pick.choices("abcdefgh ijklmn", k=200)).strip()
+        texts += [long_[:i] + "z" + long_[i + 1 :] for i in range(0, 180, 2)]
+    n, compared, within = len(texts), [], lines.edits_within
+    monkeypatch.setattr(lines, "edits_within", lambda a, b, most: compared.extend(a) or within(a, b, most))
+    table = lambda **c: pa.RecordBatch.from_arrays([pa.array(c.get(k, [None] * len(c["a"])), t) for k, t in (("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("norm", pa.string()))], names=["bucket", "a", "b", "norm"])
+    own = table(a=list(range(n)), norm=texts)
+    pairs = [(i, j) for j in range(n) for i in range(j)]
+    for work in (table(a=[i for i, _ in pairs], b=[j for _, j in pairs]), table(bucket=[7] * n, a=list(range(n)))):
+        compared.clear()
+        links = [p for out in lines._settled(iter([own, work])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+        assert plain_components(links) == {i: i // (n // 2) * (n // 2) for i in range(n)}
+        assert len(links) == n - 2 and len(compared) <= 2 * n
+
+
 def test_a_line_is_compared_by_its_own_text(spark):
     base = " ".join(f"word{i}" for i in range(30))
     rows = [(1, "something else altogether here"), (1, base), (2, base + " more"), (3, "nothing like it"), (None, base + " most")]
