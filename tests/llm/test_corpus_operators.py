@@ -310,11 +310,13 @@ def test_near_copies_are_joined_by_few_comparisons(monkeypatch):
         long_ = "".join(pick.choices("abcdefgh ijklmn", k=200)).strip()
         texts += [long_[:i] + "z" + long_[i + 1 :] for i in range(0, 180, 2)]
     n, compared, within = len(texts), [], lines.edits_within
-    monkeypatch.setattr(lines, "edits_within", lambda a, b, most: compared.extend(a) or within(a, b, most))
-    table = lambda **c: pa.RecordBatch.from_arrays([pa.array(c.get(k, [None] * len(c["a"])), t) for k, t in (("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("norm", pa.string()))], names=["bucket", "a", "b", "norm"])
-    own = table(a=list(range(n)), norm=texts)
+    monkeypatch.setattr(lines, "edits_within", lambda a, *rest: compared.extend(a) or within(a, *rest))
+    types = {"bucket": pa.int64(), "a": pa.int64(), "b": pa.int64(), "nodes": pa.binary(), "bytes": pa.int64(), "norms": pa.binary()}
+    table = lambda m, **c: pa.RecordBatch.from_arrays([pa.array(c.get(k, [None] * m), t) for k, t in types.items()], names=list(types))
+    flat = "\n".join([*texts, ""]).encode()
+    own = table(1, nodes=[np.arange(n).tobytes()], bytes=[len(flat)], norms=[pa.compress(flat, "zstd", asbytes=True)])
     pairs = [(i, j) for j in range(n) for i in range(j)]
-    for work in (table(a=[i for i, _ in pairs], b=[j for _, j in pairs]), table(bucket=[7] * n, a=list(range(n)))):
+    for work in (table(len(pairs), a=[i for i, _ in pairs], b=[j for _, j in pairs]), table(n, bucket=[7] * n, a=list(range(n)))):
         compared.clear()
         links = [p for out in lines._settled(iter([own, work])) for p in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
         assert plain_components(links) == {i: i // (n // 2) * (n // 2) for i in range(n)}
